@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup
+from quillspark.llm import exact_dedup, token_counts
 
-QUERIES = {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+QUERIES = {
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+}
 SQL = {"op8_exact_dedup": exact_dedup.SQL}
