@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, token_counts
+from quillspark.llm import exact_dedup, mixing, token_counts, token_output
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_token_output": token_output.op10_token_output,
 }
-SQL = {"op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
