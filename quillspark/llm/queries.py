@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, mixing, token_counts, token_output
+from quillspark.llm import decontamination, exact_dedup, mixing, token_counts, token_output
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_token_output": token_output.op10_token_output,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op5_decontamination": decontamination.SQL, "op8_exact_dedup": exact_dedup.SQL}
