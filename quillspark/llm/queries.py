@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, exact_dedup, mixing, token_counts, token_output
+from quillspark.llm import decontamination, exact_dedup, mixing, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_token_output": token_output.op10_token_output,
 }
