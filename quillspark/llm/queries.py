@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, exact_dedup, mixing, token_counts, token_output, toxicity
+from quillspark.llm import decontamination, exact_dedup, language_id, mixing, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_language_id": language_id.op3_language_id,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
