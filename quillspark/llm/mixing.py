@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quillspark.llm._spark import table
+from quillspark.llm._spark import stored, table
 
 #: Exponent of a source's bytes in its weight where no weights are given: below 1, small sources are raised.
 TEMPERATURE = 0.7
@@ -62,11 +62,11 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, raw double")
         raw = sizes.join(given, "source", "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    total = raw.agg(F.sum("raw").alias("all_raw"), F.sum("n_bytes").alias("all_bytes"))
-    share = F.when(F.col("all_raw") > 0, F.col("raw") / F.col("all_raw")).otherwise(F.lit(0.0))
-    rate = F.when(F.col("n_bytes") > 0, F.lit(float(epochs)) * share * F.col("all_bytes") / F.col("n_bytes")).otherwise(F.lit(float(epochs)))
-    # one row on the right: the totals
-    return raw.join(F.broadcast(total)).select("source", "n_docs", "n_bytes", share.alias("weight"), rate.alias("rate"))
+    raw = stored(raw, "source-sizes")
+    total = raw.agg(F.coalesce(F.sum("raw"), F.lit(0.0)).alias("raw"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes")).first()
+    share = F.col("raw") / F.lit(total["raw"]) if total["raw"] > 0 else F.lit(0.0)
+    rate = F.when(F.col("n_bytes") > 0, F.lit(float(epochs)) * share * F.lit(total["n_bytes"]) / F.col("n_bytes")).otherwise(F.lit(float(epochs)))
+    return raw.select("source", "n_docs", "n_bytes", share.alias("weight"), rate.alias("rate"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
