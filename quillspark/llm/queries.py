@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, difference_cover, exact_dedup, language_id, mixing, token_counts, token_output, toxicity
+from quillspark.llm import decontamination, difference_cover, exact_dedup, language_id, mixing, run_index, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_run_index": run_index.op2_run_index,
     "op3_language_id": language_id.op3_language_id,
     "op4_difference_cover": difference_cover.op4_difference_cover,
     "op5_decontamination": decontamination.op5_decontamination,
@@ -14,4 +15,4 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_token_output": token_output.op10_token_output,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op4_difference_cover": difference_cover.SQL, "op5_decontamination": decontamination.SQL, "op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_run_index": run_index.SQL, "op4_difference_cover": difference_cover.SQL, "op5_decontamination": decontamination.SQL, "op8_exact_dedup": exact_dedup.SQL}
