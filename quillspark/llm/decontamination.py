@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +172,31 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     return marked.select("doc_id", "hits", "items").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs`, all columns, in which no window of an item occurs; a block of items at a time, no shuffle."""
+    spark = docs.sparkSession
+    words = docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    for ids, texts, _ in _blocks(items, item_id, item_text, block_words):
+        block = Windows(ids, texts, window)
+        block.prefix(_counts(words, spark.sparkContext.broadcast(block)))
+        docs = docs.mapInArrow(_keeper(spark.sparkContext.broadcast(block), text), docs.schema)
+    return docs
+
+
+def _keeper(sent, text: str):
+    def keep(batches):
+        for batch in batches:
+            column = pc.fill_null(rows_of(batch, text), "")
+            for i, j in pieces(column):
+                words = Words(column.slice(i, j - i), ALNUM, lowered=True)
+                _, start = sent.value.occurrences(words)
+                good = np.ones(j - i, dtype=bool)
+                good[words.text_of()[start]] = False
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return keep
+
+
 def _marker(sent, last: bool):
     """Adds what one block hits; the texts travel on only if another block follows."""
 

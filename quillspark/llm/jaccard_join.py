@@ -383,6 +383,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all columns, whose id is the smallest of its component.
+
+    Rows without words are linked with nothing and stay, and so do rows with a null id. Of rows that repeat an id of a
+    component one stays.
+    """
+    found = stored(jaccard_components(docs, doc_id, text, shingle, percent), "components")
+    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    keep = stored(keep, "kept-ids")
+    ids = docs[doc_id].cast("long")
+    out = docs.join(keep.select(F.col("doc_id").alias("__kept")), ids == F.col("__kept"), "left_semi")
+    if keep.where("times > 1").limit(1).count():
+        out = out.dropDuplicates([doc_id])
+    if found.where("doc_id IS NULL").limit(1).count():
+        out = out.unionByName(docs.where(docs[doc_id].isNull()))
+    return out
+
+
 def _to_first(keys: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, the smallest class of each, distinct links of classes to it)."""
     order = np.lexsort((reps, keys))

@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,16 +270,18 @@ class Model:
         raw = self.trees.raw(self.lexicon.features(column))
         if not len(self.curve[0]):
             return 1 / (1 + np.exp(-raw))
-        return np.interp(raw, *self.curve)
+        return np.clip(np.interp(raw, *self.curve), 0.0, 1.0)
 
 
-def train(rows: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """A model from rows (doc_id, text, toxic); at most about `most` of them are read, chosen by a hash of the id."""
-    spark = rows.sparkSession
-    known = rows.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    n = known.select("doc_id").count()
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """A model from (doc_id, text) and (doc_id, toxic); some `most` labels are used, chosen by a hash of the id."""
+    spark = docs.sparkSession
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
     share = min(1.0, most / max(n, 1))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    some = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    # a hash keeps some sqrt(most) more or less than `most` rows of two numbers
+    chosen = docs.join(F.broadcast(some), "doc_id")
     chosen = stored(chosen.select("doc_id", "text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), part_of(F.col("doc_id")).alias("part")), "toxic-train")
     lexicon = learn_lexicon(chosen.where("part < 3"))
     sent = spark.sparkContext.broadcast(lexicon)
@@ -299,29 +302,49 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return Model(lexicon, trees, isotonic(trees.raw(x[held]), y[held]))
 
 
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, held_out=None) -> Model:
+    """A model for `docs`. Labels without a document, null labels and null ids are not used, nor ids that held_out marks."""
+    known = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("toxic"))
+    if held_out:
+        known = known.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return train(slim(docs, doc_id, text), known, train_rows)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, held_out=None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     held_out is a Column function of the id that marks rows never learned from; without it every label may be used.
-    Null texts count as empty and get a score too. Labels without a document, null labels and null ids are not used.
-    Without labels of both classes the score is the share of label 1, 0.001 at least.
+    Null texts count as empty and get a score too. Without labels of both classes the score is the share of label 1,
+    0.001 at least. Repeated rows and ids give a row each.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label, train_rows, held_out))
     docs = slim(docs, doc_id, text)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)) if held_out else F.lit(False)
-    known = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("toxic"))
-    model = train(docs.join(known.where(~out), "doc_id"), train_rows)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
             column, ids, held = (rows_of(batch, c) for c in ("text", "doc_id", "held_out"))
             for i, j in pieces(column):
-                s = np.clip(sent.value.scores(column.slice(i, j - i)), 0.0, 1.0)
+                s = sent.value.scores(column.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), held.slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.withColumn("held_out", out).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, held_out=None) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below the threshold: one pass, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label, train_rows, held_out))
+
+    def keep(batches):
+        for batch in batches:
+            column = pc.fill_null(rows_of(batch, text), "")
+            for i, j in pieces(column):
+                good = sent.value.scores(column.slice(i, j - i)) < threshold
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def mod3_is_1(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
