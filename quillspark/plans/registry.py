@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillspark.plans import catalog, usage
+
+QUERIES: dict = usage.QUERIES | catalog.QUERIES
+SQL: dict[str, str] = usage.SQL | catalog.SQL
