@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import catalog, usage
+from quillspark.plans import catalog, folds, usage, web
 
-QUERIES: dict = usage.QUERIES | catalog.QUERIES
-SQL: dict[str, str] = usage.SQL | catalog.SQL
+QUERIES: dict = usage.QUERIES | catalog.QUERIES | web.QUERIES | folds.QUERIES
+SQL: dict[str, str] = usage.SQL | catalog.SQL | web.SQL | folds.SQL
