@@ -137,11 +137,11 @@ CASE WHEN p_size > 10 THEN p_size + 1990 END AS year, coalesce((CASE WHEN p_size
 _TREE = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 SQL = {
     "article_index": _INDEX,
-    "facet_search": f"""WITH i AS ({_INDEX}) SELECT *, row_number() OVER (ORDER BY date DESC, ord) AS rank FROM i WHERE contains(lower(title || ' ' || subtitle || ' ' || authors), 'red') AND section IN ('Brand#2', 'Brand#17', 'Brand#5', '')
+    "facet_search": f"""WITH i AS ({_INDEX}) SELECT *, row_number() OVER (ORDER BY date DESC, ord)::INTEGER AS rank FROM i WHERE contains(lower(title || ' ' || subtitle || ' ' || authors), 'red') AND section IN ('Brand#2', 'Brand#17', 'Brand#5', '')
 AND (categories = '' OR categories IN ('LARGE', 'SMALL')) AND (year IS NULL OR year BETWEEN 2001 AND 2020)""",
     "facet_all": f"WITH i AS ({_INDEX}) SELECT * FROM i WHERE contains(lower(title || ' ' || subtitle || ' ' || authors), 'widget')",
     "facet_options": f"""WITH i AS ({_INDEX}) SELECT (SELECT string_agg(section, ',' ORDER BY section) FROM (SELECT DISTINCT section FROM i WHERE section <> '')) AS sections, (SELECT string_agg(categories, ',' ORDER BY categories) FROM (SELECT DISTINCT categories FROM i WHERE categories <> '')) AS categories,
-coalesce(min(year), year(current_date)) AS "yearMin", coalesce(max(year), year(current_date)) AS "yearMax" FROM i""",
+coalesce(min(year), year(current_date))::INTEGER AS "yearMin", coalesce(max(year), year(current_date))::INTEGER AS "yearMax" FROM i""",
     "facet_summary": f"""WITH i AS ({_INDEX}), n AS (SELECT section, count(*) AS n, count(year) AS dated FROM i GROUP BY section)
 SELECT section, CASE WHEN dated = n THEN '(all)' ELSE '(' || dated || '/' || n || ')' END AS label, n || ' ' || CASE WHEN n = 1 THEN 'article' ELSE 'articles' END AS count_label FROM n""",
     "left_default": "SELECT d.doc_id, lang, coalesce(quality, -1) AS quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
