@@ -57,3 +57,13 @@ def text_bytes(docs: DataFrame) -> int:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it is stored and has at most `rows` rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def filtered(docs: DataFrame, text: str, keep) -> DataFrame:
+    """The rows of `docs`, all columns, that keep(batches, name of the text column) yields: one pass, no shuffle.
+
+    Columns travel under plain names, so that names with dots are no trouble.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    name = f"c{docs.columns.index(text)}"
+    return plain.mapInArrow(lambda batches: keep(batches, name), plain.schema).toDF(*docs.columns)

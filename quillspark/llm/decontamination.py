@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import ALNUM, HashIndex, Running, Words, cover, pieces, rows_of
-from quillspark.llm._spark import slim, stored, table
+from quillspark.llm._spark import filtered, slim, stored, table
 
 WINDOW, SHINGLE, BLOCK_WORDS = 10, 3, 2_000_000
 
@@ -179,12 +179,12 @@ def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     for ids, texts, _ in _blocks(items, item_id, item_text, block_words):
         block = Windows(ids, texts, window)
         block.prefix(_counts(words, spark.sparkContext.broadcast(block)))
-        docs = docs.mapInArrow(_keeper(spark.sparkContext.broadcast(block), text), docs.schema)
+        docs = filtered(docs, text, _keeper(spark.sparkContext.broadcast(block)))
     return docs
 
 
-def _keeper(sent, text: str):
-    def keep(batches):
+def _keeper(sent):
+    def keep(batches, text):
         for batch in batches:
             column = pc.fill_null(rows_of(batch, text), "")
             for i, j in pieces(column):

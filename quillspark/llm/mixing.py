@@ -80,7 +80,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = F.broadcast(rates) if few else rates
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_key", "mix_source", "mix_steps")]
-    docs = docs.select(*[docs[f"`{c}`"] for c in kept])
+    kept = [f"`{c}`" for c in kept]
+    docs = docs.select(*kept)
     held = docs.join(rates, docs[source].eqNullSafe(F.col("mix_source")))
     u = uniform(seed, F.col(doc_id))
     # P(X <= k - 1) <= u < P(X <= k): as many steps lie at or below u as the document has copies
