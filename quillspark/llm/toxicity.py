@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense text features, with isotonic calibration.
 
-Labelled rows fall into three parts by a hash of their id: one to learn a lexicon (words and word beginnings that are
-far more frequent in toxic texts), one to grow the trees, one to calibrate. Each part is bounded by TRAIN_ROWS. The
-features are densities of lexicon words, of words that a spelling with digits or signs hides, their proximity to the
+Labelled rows, TRAIN_ROWS at most, fall into parts by a hash of their id. A lexicon of words and word beginnings that
+are far more frequent in toxic texts is learned from all of them; for the features of a training row, from other parts
+only, so that the trees see how far the lexicon carries over. One part calibrates. The features are densities of lexicon words, of words that a spelling with digits or signs hides, their proximity to the
 second person, capitals, punctuation and obfuscation rates. Scoring is one pass over the texts with a small broadcast
 model.
 """
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._bytes import HashIndex, Words, bytes_hash, pieces, rows_of, separated
-from quillspark.llm._spark import slim, stored, table
+from quillspark.llm._spark import filtered, slim, stored, table
 
-#: Most labelled rows used for the lexicon, and for trees and calibration together.
+#: Most labelled rows used.
 TRAIN_ROWS = 16_000
-#: Lexicon entries kept, and the least number of toxic texts and log-odds of an entry.
-LEXICON, LEAST_TEXTS, LEAST_ODDS = 4000, 4, 2.5
+#: Lexicon entries kept, the least number of toxic texts and log-odds of an entry, and -log of how likely chance may be
+#: to put it into so many toxic texts (some thousand words are tried).
+LEXICON, LEAST_TEXTS, LEAST_ODDS, CHANCE = 4000, 4, 2.5, 7.0
 #: Byte lengths of word beginnings, and the words between a lexicon word and a second person that count as near.
 STEMS, NEAR = (4, 5, 6), 5
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 48
@@ -128,65 +129,91 @@ class Lexicon:
         ])
 
 
+def _surprise(a: int, k: int, p: float) -> float:
+    """-log of a bound on the chance that a or more of k texts are toxic where a share p is (Chernoff)."""
+    x = a / k
+    if x <= p:
+        return 0.0
+    return k * (x * math.log(x / max(p, 1e-9)) + ((1 - x) * math.log((1 - x) / (1 - p)) if x < 1 else 0.0))
+
+
+#: Parts of the training rows; a row's own fold (part % FOLDS) is left out of the lexicon behind its features.
+PARTS, FOLDS = 6, 3
+
+
 def part_of(doc_id) -> F.Column:
-    """0 to 5 from a hash of the id: 0 to 2 lexicon, 3 and 4 trees, 5 calibration."""
-    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("part")), F.lit(6))
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("part")), F.lit(PARTS)).cast("int")
 
 
-def learn_lexicon(rows: DataFrame, entries: int = LEXICON) -> Lexicon:
-    """From rows (text, toxic): words and beginnings of high log-odds. Candidates come from toxic texts alone."""
+def learn_lexicons(rows: DataFrame, entries: int = LEXICON) -> list[Lexicon]:
+    """Lexicons from rows (text, toxic, part): one without each fold, then one from all rows.
 
-    def tokens(text: pa.Array):
-        """(text, hash, is a stem) without repeats in a text."""
-        w = Words(text, _WORD, lowered=True)
-        owner = w.text_of()
-        for kind, at, h in [(0, np.arange(len(w)), w.h), *((1, a, h) for a, h in _stems(w))]:
-            pair = np.unique(np.column_stack([owner[at].astype(np.uint64), h]), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-            yield kind, pair[:, 1]
+    Candidates come from toxic texts alone, so that clean texts only add to counts of those.
+    """
 
-    def toxic(batches):
-        found = {0: [], 1: []}
+    def tokens(batches):
+        """(kind, part, hashes): the distinct words and beginnings of every text."""
         for batch in batches:
-            text = rows_of(batch, "text")
+            text, part = rows_of(batch, "text"), rows_of(batch, "part").to_numpy(zero_copy_only=False)
             for i, j in pieces(text):
-                for kind, h in tokens(text.slice(i, j - i)):
-                    found[kind].append(h)
-        for kind, parts in found.items():
-            h, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["kind", "h", "n"])
-
-    shape = "kind int, h long, n long"
-    bad, good = rows.where("toxic = 1").select("text"), rows.where("toxic <> 1").select("text")
-    n_bad, n_good = rows.where("toxic = 1").count(), rows.where("toxic <> 1").count()
-    first = bad.mapInArrow(toxic, shape).groupBy("kind", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    first = first.orderBy(F.desc("n"), "kind", "h").limit(50 * entries).collect()
-    keys = {k: HashIndex(np.array(sorted(r["h"] & (2**64 - 1) for r in first if r["kind"] == k), dtype=np.uint64)) for k in (0, 1)}
-    sent = rows.sparkSession.sparkContext.broadcast(keys)
+                w = Words(text.slice(i, j - i), _WORD, lowered=True)
+                owner = w.text_of()
+                for kind, at, h in [(0, np.arange(len(w)), w.h), *((1, a, h) for a, h in _stems(w))]:
+                    pair = np.unique(np.column_stack([owner[at].astype(np.uint64), h]), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
+                    yield kind, part[i + pair[:, 0].astype(np.int64)], pair[:, 1]
+
+    def packed(found):
+        for kind, part, h, n in found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind), pa.int32()), pa.array(part, pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["kind", "part", "h", "n"])
+
+    def toxic(batches):
+        held: dict[tuple[int, int], list] = {}
+        for kind, part, h in tokens(batches):
+            for p in np.unique(part):
+                held.setdefault((kind, int(p)), []).append(h[part == p])
+        for (kind, p), parts in held.items():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield from packed([(kind, np.full(len(h), p), h, n)])
+
+    shape, spark = "kind int, part int, h long, n long", rows.sparkSession
+    sizes = np.zeros((2, PARTS))
+    for r in rows.groupBy("toxic", "part").count().collect():
+        sizes[r["toxic"], r["part"]] = r["count"]
+    seen = rows.where("toxic = 1").select("text", "part").mapInArrow(toxic, shape).groupBy("kind", "h").pivot("part", list(range(PARTS))).agg(F.sum("n")).fillna(0)
+    total = sum((F.col(f"`{p}`") for p in range(1, PARTS)), F.col("`0`"))
+    top = seen.withColumn("n", total).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "kind", "h").limit(50 * entries).toPandas()
+    kind, h = top["kind"].to_numpy(dtype=np.int64), top["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    bad = top[[str(p) for p in range(PARTS)]].to_numpy(dtype=float).reshape(len(top), PARTS)
+    order = {k: np.flatnonzero(kind == k)[np.argsort(h[kind == k])] for k in (0, 1)}
+    sent = spark.sparkContext.broadcast({k: HashIndex(h[at]) for k, at in order.items()})
 
     def clean(batches):
-        total = {k: np.zeros(len(x.keys), np.int64) for k, x in sent.value.items()}
-        for batch in batches:
-            text = rows_of(batch, "text")
-            for i, j in pieces(text):
-                for kind, h in tokens(text.slice(i, j - i)):
-                    row = sent.value[kind].find(h)
-                    total[kind] += np.bincount(row[row >= 0], minlength=len(total[kind]))
-        for kind, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(sent.value[kind].keys[at].view(np.int64)), pa.array(n[at], pa.int64())], ["kind", "h", "n"])
-
-    second = {(r["kind"], r["h"]): r["n"] for r in good.mapInArrow(clean, shape).groupBy("kind", "h").agg(F.sum("n").alias("n")).collect()}
-    scored = []
-    for r in first:
-        a, b = (r["n"] + 0.5) / (n_bad + 1), (second.get((r["kind"], r["h"]), 0) + 0.5) / (n_good + 1)
-        odds = math.log(a / b)
-        if odds >= LEAST_ODDS:
-            scored.append((odds * math.sqrt(r["n"]), r["kind"], r["h"] & (2**64 - 1), odds))
-    scored.sort(reverse=True)
-    out: tuple[dict, dict] = ({}, {})
-    for _, kind, h, odds in scored[:entries]:
-        out[kind][h] = odds
-    return Lexicon(*out)
+        count = {k: np.zeros((len(x.keys), PARTS), np.int64) for k, x in sent.value.items()}
+        for k, part, hashes in tokens(batches):
+            row = sent.value[k].find(hashes)
+            np.add.at(count[k], (row[row >= 0], part[row >= 0]), 1)
+        for k, n in count.items():
+            at, p = np.nonzero(n)
+            yield from packed([(k, p, at.astype(np.uint64), n[at, p])])
+
+    good = np.zeros((len(top), PARTS))
+    for r in rows.where("toxic = 0").select("text", "part").mapInArrow(clean, shape).groupBy("kind", "part", "h").agg(F.sum("n").alias("n")).collect():
+        good[order[r["kind"]][r["h"]], r["part"]] = r["n"]
+    out = []
+    for fold in (*range(FOLDS), None):
+        use = np.array([fold is None or p % FOLDS != fold for p in range(PARTS)])
+        n_good, n_bad = sizes[0, use].sum(), sizes[1, use].sum()
+        a, b = bad[:, use].sum(axis=1), good[:, use].sum(axis=1)
+        odds = np.log((a + 0.5) / (n_bad + 1)) - np.log((b + 0.5) / (n_good + 1))
+        rank = odds * np.sqrt(a)
+        found: tuple[dict, dict] = ({}, {})
+        share = n_bad / max(n_bad + n_good, 1)
+        fit_ = np.flatnonzero((a >= LEAST_TEXTS) & (odds >= LEAST_ODDS))
+        fit_ = [i for i in fit_[np.lexsort((h[fit_], -rank[fit_]))] if _surprise(a[i], a[i] + b[i], share) >= CHANCE]
+        for i in fit_[:entries]:
+            found[kind[i]][int(h[i])] = float(odds[i])
+        out.append(Lexicon(*found))
+    return out
 
 
 class Trees:
@@ -283,23 +310,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     # a hash keeps some sqrt(most) more or less than `most` rows of two numbers
     chosen = docs.join(F.broadcast(some), "doc_id")
     chosen = stored(chosen.select("doc_id", "text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), part_of(F.col("doc_id")).alias("part")), "toxic-train")
-    lexicon = learn_lexicon(chosen.where("part < 3"))
-    sent = spark.sparkContext.broadcast(lexicon)
+    lexicons = learn_lexicons(chosen)
+    sent = spark.sparkContext.broadcast(lexicons)
 
     def features(batches):
         for batch in batches:
-            text = rows_of(batch, "text")
+            text, part = rows_of(batch, "text"), rows_of(batch, "part").to_numpy(zero_copy_only=False)
             for i, j in pieces(text):
-                x = sent.value.features(text.slice(i, j - i))
+                fold = part[i:j] % FOLDS
+                x = np.zeros((j - i, len(FEATURES)))
+                for k in np.unique(fold):
+                    x[fold == k] = sent.value[k].features(text.slice(i, j - i).take(pa.array(np.flatnonzero(fold == k))))
                 keep = [rows_of(batch, c).slice(i, j - i) for c in ("doc_id", "toxic", "part")]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "part", "x"])
 
     # bounded by `most`: some 20 numbers a row
-    got = chosen.where("part >= 3").mapInArrow(features, "doc_id long, toxic int, part long, x array<double>").orderBy("doc_id").toPandas()
+    got = chosen.mapInArrow(features, "doc_id long, toxic int, part int, x array<double>").orderBy("doc_id").toPandas()
     x, y, part = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES)), got["toxic"].to_numpy(dtype=float), got["part"].to_numpy()
-    trees = Trees(x[part < 5], y[part < 5])
-    held = part == 5
-    return Model(lexicon, trees, isotonic(trees.raw(x[held]), y[held]))
+    held = part == PARTS - 1
+    trees = Trees(x[~held], y[~held])
+    return Model(lexicons[-1], trees, isotonic(trees.raw(x[held]), y[held]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, held_out=None) -> Model:
@@ -335,14 +365,14 @@ def clean_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """The rows of `docs`, all columns, whose score is below the threshold: one pass, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label, train_rows, held_out))
 
-    def keep(batches):
+    def keep(batches, name):
         for batch in batches:
-            column = pc.fill_null(rows_of(batch, text), "")
+            column = pc.fill_null(rows_of(batch, name), "")
             for i, j in pieces(column):
                 good = sent.value.scores(column.slice(i, j - i)) < threshold
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, text, keep)
 
 
 def mod3_is_1(doc_id: F.Column) -> F.Column:
