@@ -99,7 +99,7 @@ def scraped(pages: DataFrame, key: str, html: str, project=page_record, fields:
                     rows.append({key: k, **project(h), "error": None})
                 except Exception as e:  # noqa: BLE001  isolation of one item
                     rows.append({key: k, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[key, *names, "error"])
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [key, *names, "error"]})
 
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {fields}, error STRING")
 
