@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import _bpe
@@ -28,7 +29,7 @@ FRAME_IDS = 1 << 18
 LEAST_USES, ROUNDS, RULES_A_ROUND = 8, 8, 4096
 _BINS = 1 << 18
 
-FRAMES = "part int, frame int, n_ids long, base int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
+FRAMES = "part int, before long, n_ids long, base int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,16 +138,16 @@ def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     if base >= 1 << 16:
         raise ValueError("frames hold 16-bit symbols; this vocabulary has too many")
 
-    def frame(number: int, parts: list):
+    def frame(before: int, parts: list):
         ids = np.concatenate([p[0] for p in parts])
         symbols, left, right = compress(ids, base)
         spans = spans_of(left, right, base)
-        row = [TaskContext.get().partitionId(), number, len(ids), base, *(x.astype("<u2").tobytes() for x in (left, right)), spans.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), [i for p in parts for i in p[1]], [n for p in parts for n in p[2]]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
+        row = [TaskContext.get().partitionId(), before, len(ids), base, *(x.astype("<u2").tobytes() for x in (left, right)), spans.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), [i for p in parts for i in p[1]], [n for p in parts for n in p[2]]]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in FRAMES.split(", ")])
 
     def encode(batches):
-        number, parts, held = 0, [], 0
+        before, parts, held = 0, [], 0
         for batch in batches:
             column, known = rows_of(batch, "text"), rows_of(batch, "doc_id")
             for i, j in pieces(column, _bpe.PIECE_BYTES // 2):
@@ -155,10 +156,10 @@ def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
                 parts.append((flat, known.slice(i, j - i).to_pylist(), (n + 1).tolist()))
                 held += len(flat)
                 if held >= FRAME_IDS:
-                    yield frame(number, parts)
-                    number, parts, held = number + 1, [], 0
+                    yield frame(before, parts)
+                    before, parts, held = before + held, [], 0
         if parts:
-            yield frame(number, parts)
+            yield frame(before, parts)
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) >> 26)
     frames = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FRAMES)
@@ -167,13 +168,10 @@ def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
 def read_documents(frames: DataFrame) -> DataFrame:
     """One row per document, decoded from the frames: doc_id, start, n_tokens, ids_crc32."""
-    # one number per range partition and frame; a frame holds 2**18 ids or more
-    sizes = frames.select("part", "frame", "n_ids").orderBy("part", "frame").collect()
-    before, total = [], 0
-    for r in sizes:
-        before.append((r["part"], r["frame"], total))
-        total += r["n_ids"]
-    starts = frames.sparkSession.createDataFrame(before, "part int, frame int, before long")
+    # a frame knows the ids before it in its range partition; one row a partition adds those of earlier partitions
+    sizes = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", earlier.alias("earlier"))
 
     def decode(batches):
         for batch in batches:
@@ -183,9 +181,9 @@ def read_documents(frames: DataFrame) -> DataFrame:
                 lens = np.array(row["doc_lens"], dtype=np.int64)
                 ends = np.cumsum(lens)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["before"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["earlier"] + row["before"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return frames.join(starts, ["part", "frame"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return frames.join(starts, "part").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_output(spark, sf_dir: str) -> DataFrame:
