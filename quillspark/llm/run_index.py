@@ -3,7 +3,9 @@
 1. Every window of WINDOW bytes picks an anchor, the smallest K-gram hash in it, so equal windows pick equal anchors.
    Windows of one anchor form a context: a slice of the text in which each of them lies, split by which side of the
    anchor is long. Its key is a hash of the anchor and the bytes that all windows of that side share. Contexts whose
-   key the corpus has once cannot repeat and go no further.
+   key the corpus has once cannot repeat and go no further. A key with very many different contexts (a common line
+   shorter than a window) is split: its windows form contexts of half the width, whose keys take in more bytes, and so
+   on; at the last depth a context is one window and its key the whole of it.
 2. Equal contexts under a key are one row with a multiplicity, as equal runs are in a run-length index; every window of
    a context that occurs twice repeats. Contexts that share their key only with different ones, and one copy of each
    different one, go to the index of their bucket.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import SENT, bucket_of, buckets, in_blocks, joined_keys, number, send, shared_keys, with_block
+from quillspark.llm._blocks import BLOCK_BYTES, bucket_of, buckets, in_blocks, joined_keys, number, with_block
 from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import HashIndex, bytes_hash, cover, mix, pieces, rows_of, separated
 from quillspark.llm._spark import slim, stored, table, text_bytes
@@ -33,6 +35,21 @@ WINDOW, GRAM = 200, 32
 #: Bytes of contexts of one index, on average.
 INDEX_BYTES = 4 << 20
 FULL, EDGE, COPY = 1, 2, 3
+#: A key is split if it has more different contexts than this and than SPREAD times the blocks (counted block by block).
+MOST_CONTEXTS, SPREAD = 4096, 4
+
+
+def _ranges(slack: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth, the first and last distance from window start to anchor of the range that a distance falls to."""
+    out, ranges = [], [(0, slack // 2), (slack // 2 + 1, slack)]
+    while True:
+        lo, hi = np.zeros(slack + 1, np.int64), np.zeros(slack + 1, np.int64)
+        for a, b in ranges:
+            lo[a : b + 1], hi[a : b + 1] = a, b
+        out.append((lo, hi))
+        if all(a == b for a, b in ranges):
+            return out
+        ranges = [r for a, b in ranges for r in ([(a, b)] if a == b else [(a, (a + b) // 2), ((a + b) // 2 + 1, b)])]
 
 
 class Contexts:
@@ -41,36 +58,48 @@ class Contexts:
     def __init__(self, column: pa.Array, window: int = WINDOW, gram: int = GRAM):
         self.data, self.starts = separated(column)
         n, w = len(self.data), window - gram + 1
-        self.run, self.window = bytes_hash(self.data), window
-        self.key = self.hash = np.zeros(0, np.uint64)
-        self.first = self.n = np.zeros(0, np.int64)
+        self.run, self.window, self.ranges = bytes_hash(self.data), window, _ranges(window - gram)
+        self.start = self.pick = np.zeros(0, np.int64)
+        self.at_depth(0)
         room = np.repeat(self.starts[1:] - 1, np.diff(self.starts)) - np.arange(n)
         ok = room >= window
         if not ok.any():
             return
         at = np.arange(n - gram + 1)
-        value = (self.run.slices(at, at + gram) & ~np.uint64((1 << 24) - 1)) if n < 1 << 24 else self.run.slices(at, at + gram) & ~np.uint64((1 << 32) - 1)
-        value |= at.astype(np.uint64)
+        low_bits = np.uint64((1 << 24) - 1 if n < 1 << 24 else (1 << 32) - 1)
+        value = (self.run.slices(at, at + gram) & ~low_bits) | at.astype(np.uint64)
         m = -(-len(value) // w) * w
         grid = np.full(m, np.uint64(2**64 - 1))
         grid[: len(value)] = value
         ahead = np.minimum.accumulate(grid.reshape(-1, w), axis=1).ravel()
         behind = np.minimum.accumulate(grid.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-        start = np.flatnonzero(ok)
-        low = np.minimum(behind[start], ahead[start + w - 1])
-        pick = (low & np.uint64((1 << 24) - 1 if n < 1 << 24 else (1 << 32) - 1)).astype(np.int64)
-        # a context: windows side by side with the same anchor and the same long side
-        half = (window - gram) // 2
-        left = pick - start > half
+        self.start = np.flatnonzero(ok)
+        low = np.minimum(behind[self.start], ahead[self.start + w - 1])
+        self.pick = (low & low_bits).astype(np.int64)
+        self.at_depth(0)
+
+    def at_depth(self, depth: int) -> Contexts:
+        """Contexts of windows side by side with the same anchor and the same range of distances to it."""
+        lo, hi = self.ranges[depth]
+        start, pick = self.start, self.pick
+        side = lo[pick - start]
         head = np.ones(len(start), dtype=bool)
-        head[1:] = (pick[1:] != pick[:-1]) | (left[1:] != left[:-1]) | (start[1:] != start[:-1] + 1)
+        head[1:] = (pick[1:] != pick[:-1]) | (side[1:] != side[:-1]) | (start[1:] != start[:-1] + 1)
         where = np.flatnonzero(head)
         self.first, self.n = start[where], np.diff(np.append(where, len(start)))
-        p, side = pick[where], left[where]
-        a = np.where(side, p - half, p)
-        key = self.run.slices(a, a + half + gram)
-        self.key = np.where(side, mix(key + np.uint64(1)), key)
-        self.hash = mix(self.run.slices(self.first, self.first + self.n - 1 + window) + (p - self.first).astype(np.uint64))
+        self.anchor, self.near = pick[where], pick[where] - start[where]
+        self.key = self._keys(depth)
+        self.hash = mix(self.run.slices(self.first, self.first + self.n - 1 + self.window) + (self.anchor - self.first).astype(np.uint64))
+        return self
+
+    def _keys(self, depth: int) -> np.ndarray:
+        """Hash of the bytes that all windows of the range share, and of the range."""
+        lo, hi = (r[self.near] for r in self.ranges[depth])
+        return mix(self.run.slices(self.anchor - lo, self.anchor - hi + self.window) + (lo * 512 + hi).astype(np.uint64))
+
+    def under(self, depth: int, split: HashIndex) -> np.ndarray:
+        """Which contexts of this depth come from a split key of the depth before."""
+        return split.find(self._keys(depth - 1)) >= 0
 
 
 class RunIndex:
@@ -165,6 +194,8 @@ def _common(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, de
     return np.minimum(out, most)
 
 
+KEYS = "bucket int, block int, keys binary, twice binary, kinds binary"
+KEYS_BACK = "block int, keys binary, split binary"
 PAIRS = "bucket int, block int, keys binary, hashes binary, twice binary"
 STATES = "block int, keys binary, hashes binary, states binary"
 TEXTS = "index int, block int, keys binary, hashes binary, states binary, sizes binary, bytes binary"
@@ -187,6 +218,34 @@ def _owners(table_: pa.Table) -> np.ndarray:
     return np.repeat(np.array(rows_of(table_, "block").to_pylist(), dtype=np.int64), [len(x) // 8 for x in rows_of(table_, "keys").to_pylist()])
 
 
+def _send_keys(block: int, pairs: np.ndarray, n_buckets: int) -> pa.Table:
+    """The keys of a block's contexts, each once: whether it occurs twice there, and with how many contexts."""
+    pairs, count = _unique_pairs(pairs)
+    keys, first, kinds = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    twice = np.add.reduceat(count, first) > 1 if len(first) else np.zeros(0, bool)
+    kinds = np.minimum(kinds, 65535).astype(np.uint16)
+    at = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
+    return _table(KEYS, [(b, block, keys[x:y].tobytes(), twice[x:y].tobytes(), kinds[x:y].tobytes()) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if x < y])
+
+
+def _meet_keys(most: int):
+    def meet(table_: pa.Table) -> pa.Table:
+        """To each block those of its keys that occur elsewhere or twice, apart those with more than `most` contexts."""
+        keys, twice, kinds, block = _column(table_, "keys", np.uint64), _column(table_, "twice", np.uint8).astype(bool), _column(table_, "kinds", np.uint16), _owners(table_)
+        found, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = (times > 1) | (np.bincount(at, twice, len(found)) > 0)
+        split = np.bincount(at, kinds, len(found)) > most
+        rows = []
+        for b in np.unique(block):
+            own = block == b
+            good, wide = own & (shared & ~split)[at], own & (shared & split)[at]
+            if good.any() or wide.any():
+                rows.append((int(b), keys[good].tobytes(), keys[wide].tobytes()))
+        return _table(KEYS_BACK, rows)
+
+    return meet
+
+
 def _states(table_: pa.Table) -> pa.Table:
     """For each block, its contexts that may repeat: FULL, EDGE, or COPY (full, and to be sent to the index)."""
     keys, hashes = _column(table_, "keys", np.uint64), _column(table_, "hashes", np.uint64)
@@ -248,33 +307,51 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_buckets = buckets(total // 40)
     blocks = in_blocks(docs, total)
 
+    most = max(MOST_CONTEXTS, SPREAD * -(-total // BLOCK_BYTES))
+
     def parts(docs_: pa.Table):
         column = rows_of(docs_, "text")
         for i, j in pieces(column):
-            yield i, j, Contexts(column.slice(i, j - i), window)
+            yield Contexts(column.slice(i, j - i), window)
 
     def first(docs_: pa.Table) -> pa.Table:
-        return send(number(docs_, "block"), np.concatenate([c.key for _, _, c in parts(docs_)]), n_buckets)
-
-    def second(docs_: pa.Table, back: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
-            return _table(PAIRS, [])
-        shared, pairs = HashIndex(joined_keys(back)), []
-        for _, _, c in parts(docs_):
-            hit = shared.find(c.key) >= 0
-            pairs.append(np.column_stack([c.key[hit], c.hash[hit]]))
-        pairs, count = _unique_pairs(np.concatenate(pairs))
-        at = np.searchsorted(bucket_of(pairs[:, 0], n_buckets), np.arange(n_buckets + 1))
-        block = number(docs_, "block")
-        return _table(PAIRS, [(b, block, pairs[x:y, 0].tobytes(), pairs[x:y, 1].tobytes(), (count[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if x < y])
-
-    def third(n_indexes: int):
+        return _send_keys(number(docs_, "block"), np.concatenate([np.column_stack([c.key, c.hash]) for c in parts(docs_)]), n_buckets)
+
+    def narrower(depth: int):
+        def send_keys(docs_: pa.Table, back: pa.Table) -> pa.Table:
+            split = HashIndex(np.sort(_column(back, "split", np.uint64))) if back.num_rows else HashIndex(np.zeros(0, np.uint64))
+            if not docs_.num_rows or not len(split.keys):
+                return _table(KEYS, [])
+            pairs = []
+            for c in parts(docs_):
+                own = c.at_depth(depth).under(depth, split)
+                pairs.append(np.column_stack([c.key[own], c.hash[own]]))
+            return _send_keys(number(docs_, "block"), np.concatenate(pairs), n_buckets)
+
+        return send_keys
+
+    def second(depth: int):
+        def send_pairs(docs_: pa.Table, back: pa.Table) -> pa.Table:
+            if not docs_.num_rows or not back.num_rows:
+                return _table(PAIRS, [])
+            shared, pairs = HashIndex(joined_keys(back)), []
+            for c in parts(docs_):
+                hit = shared.find(c.at_depth(depth).key) >= 0
+                pairs.append(np.column_stack([c.key[hit], c.hash[hit]]))
+            pairs, count = _unique_pairs(np.concatenate(pairs))
+            at = np.searchsorted(bucket_of(pairs[:, 0], n_buckets), np.arange(n_buckets + 1))
+            block = number(docs_, "block")
+            return _table(PAIRS, [(b, block, pairs[x:y, 0].tobytes(), pairs[x:y, 1].tobytes(), (count[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if x < y])
+
+        return send_pairs
+
+    def third(n_indexes: int, depths: int):
         def send_texts(docs_: pa.Table, back: pa.Table) -> pa.Table:
             if not docs_.num_rows or not back.num_rows:
                 return _table(TEXTS, [])
             known, hashes, states = _lookup(back)
             block, out, sent = number(docs_, "block"), {}, set()
-            for _, _, c in parts(docs_):
+            for c in (c.at_depth(d) for c in parts(docs_) for d in range(depths)):
                 row = known.find(c.key ^ mix(c.hash))
                 for x in np.flatnonzero(row >= 0).tolist():
                     state = int(states[row[x]])
@@ -290,7 +367,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return send_texts
 
-    def last(docs_: pa.Table, back: pa.Table) -> pa.Table:
+    def last(docs_: pa.Table, back: pa.Table, depths: int) -> pa.Table:
         ids, out = rows_of(docs_, "doc_id"), [[], [], [], []]
         known, _, states = _lookup(back)
         some = [x is not None for x in rows_of(back, "marks").to_pylist()] if back.num_rows else []
@@ -306,16 +383,19 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 i += k
             bits, order = np.concatenate(bits), np.argsort(keys)
             marked, at, n = HashIndex(keys[order]), (np.cumsum(n) - n)[order], n[order]
-        for _, _, c in parts(docs_):
-            row = known.find(c.key ^ mix(c.hash))
-            full = np.flatnonzero((row >= 0) & (states[row] != EDGE)) if len(states) else np.zeros(0, np.int64)
-            gone = cover(len(c.data), c.first[full], c.first[full] + c.n[full] - 1 + window)
-            row = marked.find(c.key ^ mix(c.hash))
-            edge = np.flatnonzero(row >= 0)
-            if len(edge):
-                k = n[row[edge]]
-                start = ragged(c.first[edge], k)[bits[ragged(at[row[edge]], k)]]
-                gone |= cover(len(c.data), start, start + window)
+        for c in parts(docs_):
+            gone = np.zeros(len(c.data), dtype=bool)
+            for depth in range(depths):
+                both = c.at_depth(depth).key ^ mix(c.hash)
+                row = known.find(both)
+                full = np.flatnonzero((row >= 0) & (states[row] != EDGE)) if len(states) else np.zeros(0, np.int64)
+                gone |= cover(len(c.data), c.first[full], c.first[full] + c.n[full] - 1 + window)
+                row = marked.find(both)
+                edge = np.flatnonzero(row >= 0)
+                if len(edge):
+                    k = n[row[edge]]
+                    start = ragged(c.first[edge], k)[bits[ragged(at[row[edge]], k)]]
+                    gone |= cover(len(c.data), start, start + window)
             keep = ~gone
             keep[c.starts[1:] - 1] = False
             plain, kept = c.data[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[c.starts]
@@ -327,16 +407,26 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out[3] += [hashlib.sha256(plain[x:y]).hexdigest() for x, y in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
         return pa.table([ids, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    keys = shared_keys(blocks.groupBy("block").applyInArrow(first, SENT))
-    states = stored(with_block(blocks, keys, second, PAIRS).groupBy("bucket").applyInArrow(_states, STATES), "context-states")
+    states, depth = None, 0
+    sent = blocks.groupBy("block").applyInArrow(first, KEYS)
+    while True:
+        back = stored(sent.groupBy("bucket").applyInArrow(_meet_keys(most), KEYS_BACK), "context-keys")
+        now = with_block(blocks, back, second(depth), PAIRS).groupBy("bucket").applyInArrow(_states, STATES)
+        states = now if states is None else states.unionByName(now)
+        depth += 1
+        wide = back.where(F.length("split") > 0)
+        if depth == len(_ranges(window - GRAM)) or wide.limit(1).count() == 0:
+            break
+        sent = with_block(blocks, wide, narrower(depth), KEYS)
+    states = stored(states, "context-states")
     # as many indexes as the contexts to be indexed need: their number follows from the states
     n_contexts = states.select(F.sum(F.length(F.regexp_replace(F.hex("states"), "01", "")) / 2).alias("n")).first()["n"] or 0
     n_indexes = max(4, int(n_contexts * (window + 45)) // INDEX_BYTES + 1)
-    texts = with_block(blocks, states, third(n_indexes), TEXTS)
+    texts = with_block(blocks, states, third(n_indexes, depth), TEXTS)
     found = texts.groupBy("index").applyInArrow(_indexed(window), FOUND)
     back = states.select("*", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("marks")).unionByName(
         found.withColumn("states", F.lit(None).cast("binary")))
-    return with_block(blocks, back, last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_block(blocks, back, lambda a, b: last(a, b, depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _unique_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,18 @@ def test_run_index(docs):
     assert rows_of(run_index.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == order(H.brute_bytes(ROWS))
 
 
+def test_run_index_splits_keys_of_many_contexts(spark, docs, monkeypatch):
+    """Down to single windows: a line shorter than a window, between different words, in every text."""
+    monkeypatch.setattr(run_index, "MOST_CONTEXTS", 1)
+    monkeypatch.setattr(run_index, "SPREAD", 0)
+    assert rows_of(run_index.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == order(H.brute_bytes(ROWS))
+    line = H.words(400, 30)
+    rows = [(i, H.words(500 + i, 30) + " " + line + " " + H.words(600 + i // 2, 40) + " " + H.words(700 + i, 30)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(run_index.repeated_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == order(H.brute_bytes(rows)) and sum(r[2] for r in got) > 0
+
+
 def test_run_index_longest_matches():
     r = np.random.default_rng(3)
     strings = [bytes(r.integers(97, 99, n, dtype=np.uint8)) for n in r.integers(1, 60, 40)] + [b"abab" * 9, b"abab" * 9, b"a"]
