@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -42,6 +43,32 @@ class Node:
         return re.sub(r"\s+([,.;:])", r"\1", t).strip()
 
 
+def select(node: Node, path: str) -> list[Node]:
+    """Nodes at a path of `tag.class` steps (either part may be left out); of alternatives split by | the first found."""
+    for way in path.split("|"):
+        found = [node]
+        for step in way.split():
+            tag, _, cls = step.partition(".")
+            found = [n for f in found for n in f.find_all(*([tag] if tag else []), cls=cls)]
+        if found:
+            return list({id(n): n for n in found}.values())
+    return []
+
+
+def inner(node: Node | None) -> str:
+    """HTML of what a node holds."""
+    if node is None:
+        return ""
+    out = []
+    for c in node.children:
+        if isinstance(c, str):
+            out.append(html.escape(c, quote=False))
+        else:
+            attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in c.attrs.items())
+            out.append(f"<{c.tag}{attrs}>" + ("" if c.tag in VOID else f"{inner(c)}</{c.tag}>"))
+    return "".join(out).strip()
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -86,7 +113,7 @@ def page_record(text: str | None) -> dict:
 PAGE = "title STRING, description STRING, issn STRING, text STRING, headings ARRAY<STRING>, links ARRAY<STRING>"
 
 
-def scraped(pages: DataFrame, key: str, html: str, project=page_record, fields: str = PAGE) -> DataFrame:
+def scraped(pages: DataFrame, key: str, page: str, project=page_record, fields: str = PAGE) -> DataFrame:
     """key, the projection's fields, and `error`: a page that cannot be read gives a row with the error, not a failure."""
     names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", fields).split(", ")]
     kind = dict(pages.dtypes)[key]
@@ -94,14 +121,14 @@ def scraped(pages: DataFrame, key: str, html: str, project=page_record, fields:
     def run(batches):
         for pdf in batches:
             rows = []
-            for k, h in zip(pdf[key], pdf[html], strict=True):
+            for k, h in zip(pdf[key], pdf[page], strict=True):
                 try:
                     rows.append({key: k, **project(h), "error": None})
                 except Exception as e:  # noqa: BLE001  isolation of one item
                     rows.append({key: k, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [key, *names, "error"]})
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {fields}, error STRING")
+    return pages.select(key, page).mapInPandas(run, f"{key} {kind}, {fields}, error STRING")
 
 
 def team_rows(text: str | None) -> list[tuple]:
