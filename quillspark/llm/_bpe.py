@@ -22,6 +22,7 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, BOUND, UNKNOWN = range(7)
 _WHITE = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 #: Bytes of text per call of the array kernels, and entries of a worker's cache before it starts anew.
 PIECE_BYTES, CACHE_ENTRIES = 2 << 20, 1_000_000
+ENCODED_AT_ONCE = 4096
 
 
 @cache
@@ -178,11 +179,13 @@ class PieceTable:
 
 
 def encoded(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of texts encoded by the library."""
-    ids = [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-    off = np.zeros(len(ids) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in ids], out=off[1:])
-    return off, np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(off[-1]))
+    """(offsets, ids) of texts encoded by the library, some at a time: its results take a kilobyte and more each."""
+    sizes, ids = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+    for i in range(0, len(texts), ENCODED_AT_ONCE):
+        some = [x.ids for x in tokenizer(path).encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+        sizes.append(np.array([len(x) for x in some], dtype=np.int64))
+        ids.append(np.fromiter((i for x in some for i in x), dtype=np.int32, count=int(sizes[-1].sum())))
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(ids)
 
 
 def strings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:

@@ -41,9 +41,8 @@ def frequent_pieces(docs: DataFrame, path: str = PATH, sample_bytes: int = SAMPL
 
     some = docs if total <= sample_bytes else docs.sample(sample_bytes / total, seed=7)
     top = some.select("text").mapInArrow(count, "w string, n long").groupBy("w").sum("n").where("sum(n) > 1").orderBy("sum(n)", ascending=False).limit(entries)
-    words = [r[0] for r in top.collect()]
-    off, ids = _bpe.encoded(path, words)
-    column = pa.array(words, pa.string())
+    column = top.select("w").toArrow().column("w").combine_chunks()
+    off, ids = _bpe.encoded(path, column.to_pylist())
     p = _bpe.text_buffer(column)
     s, e = p[0][:-1], p[0][1:]
     return _bpe.PieceTable(_bpe.bytes_hash(p[1]).slices(s, e), _bpe.lead_bytes(p[1], s, e), e - s, off, ids)

@@ -197,8 +197,11 @@ def learn_lexicons(rows: DataFrame, entries: int = LEXICON) -> list[Lexicon]:
             yield from packed([(k, p, at.astype(np.uint64), n[at, p])])
 
     good = np.zeros((len(top), PARTS))
-    for r in rows.where("toxic = 0").select("text", "part").mapInArrow(clean, shape).groupBy("kind", "part", "h").agg(F.sum("n").alias("n")).collect():
-        good[order[r["kind"]][r["h"]], r["part"]] = r["n"]
+    also = rows.where("toxic = 0").select("text", "part").mapInArrow(clean, shape).groupBy("kind", "part", "h").agg(F.sum("n").alias("n")).toArrow()
+    kinds, parts_, at, n = (also.column(c).to_numpy() for c in ("kind", "part", "h", "n"))
+    for k in (0, 1):
+        own = kinds == k
+        good[order[k][at[own]], parts_[own]] = n[own]
     out = []
     for fold in (*range(FOLDS), None):
         use = np.array([fold is None or p % FOLDS != fold for p in range(PARTS)])
