@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -234,6 +235,45 @@ def test_language_id_edges(docs):
     assert {p for _, p, _ in out} <= {"und", "en", "de"}
 
 
+def few_of_one_language(n_large: int = 300):
+    """A large language, a small one of two rows in other letters, and unlabelled texts of both."""
+    r = np.random.default_rng(5)
+    word = lambda low, high: "".join(chr(x) for x in r.integers(low, high, 6))
+    large = [" ".join(word(0x4E00, 0x4E80) for _ in range(40)) for _ in range(n_large)]
+    small = [" ".join(word(0x61, 0x7B) for _ in range(40)) for _ in range(2)]
+    rows = [(i, t, "zh") for i, t in enumerate(large)] + [(1000 + i, t, "aa") for i, t in enumerate(small)]
+    return rows + [(2000, large[0][:80], None), (2001, small[0][:80], None), (2002, "12 !", None), (2003, None, None)]
+
+
+def test_language_id_keeps_all_grams(spark):
+    """Singletons of a small language stay in the model beside a large one."""
+    df = spark.createDataFrame(few_of_one_language(), "doc_id long, text string, lang string")
+    # ids 1000 and 1001 must both be counted, not set aside
+    model = language_id.train(df)
+    assert model.langs == ["aa", "zh"]
+    grams = {int(x) for r in few_of_one_language() if r[2] for x in language_id.Chars(pa.array([r[1]])).grams().tolist()}
+    assert len(model.levels[-1].index.keys) > 0.9 * len(grams) > 10000
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df).collect()}
+    assert out[2000] == "zh" and out[2001] == "aa" and out[2002] == out[2003] == "und"
+
+
+def test_language_id_by_buckets(spark, docs, sf_dir, monkeypatch):
+    """A model too large to broadcast gives the answers of the one that is sent."""
+    mixed = spark.createDataFrame(few_of_one_language(40), "doc_id long, text string, lang string")
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (docs, mixed, real):
+        sent = sorted(language_id.identify(df, held_out=language_id.mod4_is_2).collect(), key=repr)
+        monkeypatch.setattr(language_id, "SENT_CELLS", 0)
+        monkeypatch.setattr(language_id, "BLOCK_BYTES", 20000)
+        apart = sorted(language_id.identify(df, held_out=language_id.mod4_is_2).collect(), key=repr)
+        monkeypatch.undo()
+        assert len(sent) == len(apart) == df.count()
+        key = lambda r: (repr(r["doc_id"]), r["lang_pred"], round(r["entropy"], 3))
+        for a, b in zip(sorted(sent, key=key), sorted(apart, key=key), strict=True):
+            assert (a["doc_id"], a["held_out"], a["lang_pred"], a["rejected"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["rejected"])
+            assert abs(a["score"] - b["score"]) < 1e-3 and abs(a["entropy"] - b["entropy"]) < 1e-4
+
+
 def test_probabilities_sum_to_one():
     """After a known context, the seen letters and one unseen letter share all probability."""
     import pyarrow as pa
