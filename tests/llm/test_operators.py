@@ -257,6 +257,19 @@ def test_language_id_keeps_all_grams(spark):
     assert out[2000] == "zh" and out[2001] == "aa" and out[2002] == out[2003] == "und"
 
 
+def test_language_id_discounts_from_all_counts(spark):
+    """The top order's discount comes from the true numbers of 4-grams seen once and twice."""
+    rows = few_of_one_language(60)
+    small = [r for r in rows if r[2] == "aa"]
+    model = language_id.train(spark.createDataFrame(small, "doc_id long, text string, lang string"))
+    grams, n = np.unique(language_id.Chars(pa.array([r[1] for r in small])).grams(), return_counts=True)
+    d = (n == 1).sum() / ((n == 1).sum() + 2 * max((n == 2).sum(), 1))
+    head, at = np.unique(grams >> np.uint64(16), return_inverse=True)
+    expect = np.minimum(d * np.bincount(at) / np.bincount(at, n), 1.0)
+    top = model.levels[-1]
+    assert d > 0.5 and np.allclose(np.exp(top.weight[top.contexts.find(language_id.mix(head)), 0]), expect, rtol=1e-5)
+
+
 def test_language_id_by_buckets(spark, docs, sf_dir, monkeypatch):
     """A model too large to broadcast gives the answers of the one that is sent."""
     mixed = spark.createDataFrame(few_of_one_language(40), "doc_id long, text string, lang string")
