@@ -6,8 +6,8 @@ sorted array of n-gram hashes for each order, each with a row of log-probabiliti
 order lacks backs off through the weights of its contexts. No count is left out: a model of at most SENT_CELLS numbers is
 built on the driver and broadcast; a larger one is built in Spark, stays in Parquet, and blocks of documents fetch the
 rows that their n-grams need from hash buckets. A text gets the language of the lowest cross-entropy per
-character; it is marked rejected where that entropy is beyond what training rows of the language set aside for
-calibration have.
+character; it is marked rejected where that entropy is beyond what training rows of the language have under a
+model without them.
 """
 
 from __future__ import annotations
@@ -360,13 +360,22 @@ def learned(counts: DataFrame) -> Model | Tables:
 
 
 def train(rows: DataFrame) -> Model | Tables:
-    """A model of all 4-grams of the rows (doc_id, text, lang) with a language."""
+    """A model of all 4-grams of the rows (doc_id, text, lang) with a language.
+
+    Rejection limits are measured on one row in CALIBRATE with a model of the others; the model returned has all rows.
+    A language without a row set aside, or with none recognised there, has no limit.
+    """
     rows = rows.where("lang IS NOT NULL")
     aside = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibrate")), F.lit(CALIBRATE)) == 0, F.lit(False))
-    model = learned(stored(gram_counts(rows.where(~aside)), "char-grams"))
-    seen = predicted(rows.where(aside).select("lang", "text"), model).where("lang = lang_pred")
+    counts = stored(gram_counts(rows.where(~aside)), "char-grams")
+    part = learned(counts)
+    limit = {}
+    seen = predicted(rows.where(aside).select("lang", "text"), part).where("lang = lang_pred")
     for r in seen.groupBy("lang").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev("entropy"), F.lit(0.0)).alias("s")).collect():
-        model.limit[r["lang"]] = (r["m"], max(r["s"], 0.05))
+        limit[r["lang"]] = (r["m"], max(r["s"], 0.05))
+    both = counts.unionByName(gram_counts(rows.where(aside))).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = learned(stored(both, "char-grams"))
+    model.limit = limit
     return model
 
 

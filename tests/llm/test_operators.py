@@ -270,11 +270,21 @@ def test_language_id_discounts_from_all_counts(spark):
     assert d > 0.5 and np.allclose(np.exp(top.weight[top.contexts.find(language_id.mix(head)), 0]), expect, rtol=1e-5)
 
 
+def test_language_id_learns_rows_set_aside(spark):
+    """A language whose only row is set aside for calibration is learned all the same."""
+    from pyspark.sql import functions as F
+
+    aside = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("calibrate")), F.lit(language_id.CALIBRATE)) == 0
+    only = spark.range(3000, 3200).where(aside).first()[0]
+    rows = [r for r in few_of_one_language(20) if r[2] != "aa"] + [(only, few_of_one_language(20)[20][1], "aa")]
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[only] == out[2001] == "aa" and out[2000] == "zh"
+
+
 def test_language_id_by_buckets(spark, docs, sf_dir, monkeypatch):
     """A model too large to broadcast gives the answers of the one that is sent."""
-    mixed = spark.createDataFrame(few_of_one_language(40), "doc_id long, text string, lang string")
     real = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for df in (docs, mixed, real):
+    for df in (docs, real):
         sent = sorted(language_id.identify(df, held_out=language_id.mod4_is_2).collect(), key=repr)
         monkeypatch.setattr(language_id, "SENT_CELLS", 0)
         monkeypatch.setattr(language_id, "BLOCK_BYTES", 20000)
