@@ -26,7 +26,9 @@ from quillspark.llm.token_counts import PATH, frequent_pieces, shipped
 #: Ids of a frame before compression (a longer document has a frame of its own).
 FRAME_IDS = 1 << 18
 #: A pair becomes a rule if it is replaced at least so often; a rule costs four bytes and its expansion length.
-LEAST_USES, ROUNDS, RULES_A_ROUND = 8, 8, 4096
+LEAST_USES, RULES_A_ROUND = 8, 4096
+#: Rules of a round below which pairs are counted themselves from then on.
+FEW_RULES = 64
 _BINS = 1 << 18
 
 FRAMES = "part int, before long, n_ids long, base int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
@@ -36,35 +38,32 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(symbols, left, right): symbol base + r stands for symbols left[r], right[r], which come before it.
 
     In each round all pairs are counted in hash bins; the pair seen last in each of the fullest bins becomes a rule.
-    Where pairs overlap, every other one of a row is replaced.
+    Where pairs overlap, every other one of a row is replaced. Once bins give no rule any more, pairs are counted
+    themselves, until none has LEAST_USES places that do not overlap or symbols run out.
     """
     seq = ids.astype(np.int32)
     left, right = np.zeros(0, np.int32), np.zeros(0, np.int32)
-    for _ in range(ROUNDS):
+    binned = True
+    while True:
         room = min(RULES_A_ROUND, (1 << 16) - base - len(left))
         if len(seq) < 2 * LEAST_USES or room <= 0:
             break
         pair = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        bins = ((pair * 0x5851F42D4C957F2D) >> 40) & (_BINS - 1)
-        count = np.bincount(bins, minlength=_BINS)
-        full = np.flatnonzero(count >= LEAST_USES)
-        if len(full) > room:
-            full = full[np.argpartition(-count[full], room)[:room]]
-        if not len(full):
-            break
-        hot = np.zeros(_BINS, dtype=bool)
-        hot[full] = True
-        at = np.flatnonzero(hot[bins])
-        chosen = np.zeros(_BINS, dtype=np.int64)
-        chosen[bins[at]] = pair[at]
-        at = at[chosen[bins[at]] == pair[at]]
-        if not len(at):
+        at = _in_bins(pair, room) if binned else _frequent(pair, room)
+        if not len(at) and not binned:
             break
         at = every_other(at)
         keys, rule, uses = np.unique(pair[at], return_inverse=True, return_counts=True)
         good = uses >= LEAST_USES
         if not good.any():
-            break
+            if binned:
+                binned = False
+                continue
+            # frequent pairs that take each other's places: the most frequent one alone
+            at = every_other(_frequent(pair, 1))
+            keys, rule, good = pair[at[:1]], np.zeros(len(at), np.int64), np.ones(1, bool)
+        # few rules a round: counting pairs themselves finds all of them at once
+        binned = binned and good.sum() >= FEW_RULES
         number = np.cumsum(good) - 1
         keep = good[rule]
         at, rule, keys = at[keep], number[rule[keep]], keys[good]
@@ -76,6 +75,42 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return seq, left, right
 
 
+def _bins(pair: np.ndarray) -> np.ndarray:
+    return ((pair * 0x5851F42D4C957F2D) >> 40) & (_BINS - 1)
+
+
+def _in_bins(pair: np.ndarray, room: int) -> np.ndarray:
+    """Positions of the pairs seen last in each of the `room` fullest hash bins."""
+    bins = _bins(pair)
+    count = np.bincount(bins, minlength=_BINS)
+    full = np.flatnonzero(count >= LEAST_USES)
+    if len(full) > room:
+        full = full[np.argpartition(-count[full], room)[:room]]
+    hot = np.zeros(_BINS, dtype=bool)
+    hot[full] = True
+    at = np.flatnonzero(hot[bins])
+    chosen = np.zeros(_BINS, dtype=np.int64)
+    chosen[bins[at]] = pair[at]
+    return at[chosen[bins[at]] == pair[at]]
+
+
+def _frequent(pair: np.ndarray, room: int) -> np.ndarray:
+    """Positions of the `room` most frequent pairs with at least LEAST_USES places that do not overlap."""
+    twin = (pair >> 32) == (pair & 0xFFFFFFFF)
+    apart = ~twin
+    apart[every_other(np.flatnonzero(twin))] = True
+    bins = _bins(pair)
+    # a frequent pair's bin is at least as full
+    where = np.flatnonzero(apart & (np.bincount(bins[apart], minlength=_BINS) >= LEAST_USES)[bins])
+    _, which, count = np.unique(pair[where], return_inverse=True, return_counts=True)
+    top = np.flatnonzero(count >= LEAST_USES)
+    if len(top) > room:
+        top = top[np.argpartition(-count[top], room)[:room]]
+    hot = np.zeros(len(count), dtype=bool)
+    hot[top] = True
+    return where[hot[which]]
+
+
 def every_other(at: np.ndarray) -> np.ndarray:
     """Of each row of consecutive positions, the first, third, fifth .."""
     head = np.ones(len(at), dtype=bool)

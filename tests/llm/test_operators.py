@@ -143,6 +143,23 @@ def test_grammar_round_trip():
     assert len(token_output.compress(np.zeros(1000, np.int32), 50257)[0]) < 30
 
 
+def test_grammar_has_no_frequent_pair_left():
+    """Rules go on until no pair has LEAST_USES places that do not overlap."""
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 50257, 6000)
+    skewed = np.minimum(r.zipf(1.3, 60000), 50000)
+    for ids in (np.tile(passage, 20), skewed, np.zeros(50000, np.int64)):
+        symbols, left, right = token_output.compress(ids.astype(np.int32), 50257)
+        assert (token_output.expand(symbols, left, right, 50257) == ids).all()
+        if len(left) < (1 << 16) - 50257:
+            count: dict = {}
+            last: dict = {}
+            for i, p in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+                if last.get(p, -2) != i - 1:
+                    count[p], last[p] = count.get(p, 0) + 1, i
+            assert max(count.values(), default=0) < token_output.LEAST_USES
+
+
 def test_exact_dedup(docs):
     want = H.brute_exact(ROWS)
     got = exact_dedup.exact_duplicates(docs, digest_all=True)
