@@ -66,7 +66,8 @@ class Contexts:
         if not ok.any():
             return
         at = np.arange(n - gram + 1)
-        low_bits = np.uint64((1 << 24) - 1 if n < 1 << 24 else (1 << 32) - 1)
+        # the same bits at every size, ties to the first position, so that equal windows pick equal anchors
+        low_bits = np.uint64((1 << 32) - 1)
         value = (self.run.slices(at, at + gram) & ~low_bits) | at.astype(np.uint64)
         m = -(-len(value) // w) * w
         grid = np.full(m, np.uint64(2**64 - 1))

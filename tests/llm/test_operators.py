@@ -52,6 +52,21 @@ def test_run_index_splits_keys_of_many_contexts(spark, docs, monkeypatch):
     assert got == order(H.brute_bytes(rows)) and sum(r[2] for r in got) > 0
 
 
+def test_run_index_orders_anchors_by_32_bits_in_short_texts_too(monkeypatch):
+    """Grams that tie in the leading 32 bits of their hash pick the first position, whatever the later bits are."""
+    plain = run_index.bytes_hash
+
+    def tied(data):
+        run = plain(data)
+        slices = run.slices
+        run.slices = lambda s, e: slices(s, e) & np.uint64(0xFFFFFFFF)
+        return run
+
+    monkeypatch.setattr(run_index, "bytes_hash", tied)
+    c = run_index.Contexts(pa.array([H.words(3, 200)]))
+    assert len(c.start) and (c.pick == c.start).all()
+
+
 def test_run_index_longest_matches():
     r = np.random.default_rng(3)
     strings = [bytes(r.integers(97, 99, n, dtype=np.uint8)) for n in r.integers(1, 60, 40)] + [b"abab" * 9, b"abab" * 9, b"a"]
