@@ -1,36 +1,96 @@
 """Documents in blocks, and keys that more than one place of the corpus has.
 
-A block holds all rows whose (id, text) hash falls to it. Each block sends every key once (with a mark if it has it
-twice), so a key that a third of all texts hold reaches its bucket once a block, and what a bucket finds goes back to
-blocks, not to single texts. Rows are blobs of sorted 64-bit keys.
+A block is one input split, or BLOCK_BYTES of it. Blocks are written once as a table bucketed by block, whose numbers
+are chosen so that Spark's own bucket hash leaves each block in the task that read it: no text is shuffled, and every
+later step meets its blocks without an exchange. Each block sends every key once (with a mark if it has it twice), so
+a key that a third of all texts hold reaches its bucket once a block, and what a bucket finds goes back to blocks, not
+to single texts. Rows are blobs of sorted 64-bit keys.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._bytes import rows_of
+from quillspark.llm._bytes import pieces, rows_of, text_buffer
+from quillspark.llm._spark import new_path
 
-#: Bytes of text of a block, and keys of a bucket, on average.
-BLOCK_BYTES, BUCKET_KEYS = 6 << 20, 1 << 20
+#: Most bytes of text of a block (or one text), keys of a bucket on average, and keys of a row from a block to a bucket.
+BLOCK_BYTES, BUCKET_KEYS, ROW_KEYS = 32 << 20, 1 << 20, 64
+#: Buckets grow by this factor at most to keep rows of ROW_KEYS keys in very large corpora.
+WIDEST = 4
+#: Limit of Spark on the buckets of a table.
+MOST_FILES = 100_000
 
 SENT = "bucket int, block int, keys binary, twice binary"
 BACK = "block int, keys binary"
 
 
-def in_blocks(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """Slim documents with their block."""
-    n = max(1, -(-total_bytes // BLOCK_BYTES))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+@dataclass
+class Blocks:
+    """docs: (block, doc_id, text); bytes of all texts; number of blocks."""
 
+    docs: DataFrame
+    bytes: int
+    n: int
 
-def buckets(n_keys: int) -> int:
-    return max(4, -(-n_keys // BUCKET_KEYS))
+    def buckets(self, n_keys: int) -> int:
+        return max(4, -(-n_keys // min(max(BUCKET_KEYS, ROW_KEYS * self.n), WIDEST * BUCKET_KEYS)))
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints (Murmur3, seed 42), which deals rows to buckets."""
+
+    def turned(v, r):
+        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+
+    k = turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turned(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def _numbers(part: int, n: int):
+    """Block numbers that fall to bucket part % n, different for each part."""
+    at = (part // n) << 24
+    while True:
+        x = np.arange(at, at + 64 * n, dtype=np.int64).astype(np.int32)
+        yield from x[spark_hash(x).astype(np.int64) % n == part % n].tolist()
+        at += 64 * n
+
+
+def in_blocks(docs: DataFrame) -> Blocks:
+    """Slim documents in blocks, written once."""
+    spark = docs.sparkSession
+    n = max(1, min(docs.rdd.getNumPartitions(), MOST_FILES))
+
+    def cut(batches):
+        numbers = _numbers(TaskContext.get().partitionId(), n)
+        block, held = next(numbers), 0
+        for batch in batches:
+            text, ids = rows_of(batch, "text"), rows_of(batch, "doc_id")
+            for i, j in pieces(text, BLOCK_BYTES):
+                size = np.diff(text_buffer(text.slice(i, j - i))[0])
+                if held and held + int(size.sum()) > BLOCK_BYTES:
+                    block, held = next(numbers), 0
+                held += int(size.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block, np.int32)), ids.slice(i, j - i), text.slice(i, j - i), pa.array(size)], ["block", "doc_id", "text", "size"])
+
+    name = f"quillspark_{uuid.uuid4().hex}"
+    cut_ = docs.select("doc_id", "text").mapInArrow(cut, "block int, doc_id long, text string, size long")
+    cut_.write.format("parquet").option("path", new_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name)
+    out = spark.table(name)
+    r = out.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_distinct("block").alias("n")).first()
+    return Blocks(out.select("block", "doc_id", "text"), r["bytes"], max(1, r["n"]))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -38,12 +98,15 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def spans(at: np.ndarray):
+    """(value, from, to) of each run of equal values."""
+    head = np.flatnonzero(np.diff(at, prepend=at[:1] - 1))
+    yield from zip(at[head].tolist(), head.tolist(), np.append(head[1:], len(at))[: len(head)].tolist(), strict=True)
+
+
 def split_keys(keys: np.ndarray, n: int):
     """(bucket, from, to) of sorted keys."""
-    at = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-    for b in range(n):
-        if at[b] < at[b + 1]:
-            yield b, int(at[b]), int(at[b + 1])
+    return spans(bucket_of(keys, n))
 
 
 def number(table: pa.Table, name: str) -> int:

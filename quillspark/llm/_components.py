@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import stored
+from quillspark.llm._spark import discard, stored
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        old, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(old)
         now = _print(e)
         if now == before:
             break

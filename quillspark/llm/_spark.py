@@ -20,24 +20,40 @@ def slim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one becomes it."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one becomes it on a local master; on a
+    cluster, whose machines do not share such a folder, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the application ends if not before."""
+    path = f"{shared_dir(spark)}/quillspark/{what}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
-    The files are removed when the application ends.
+    The files are removed by discard(), or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a stored table whose consumers have been written."""
+    _drop(df.sparkSession, df.stored_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm._blocks import SENT, buckets, in_blocks, joined_keys, number, send, shared_keys, with_block
+from quillspark.llm._blocks import SENT, in_blocks, joined_keys, number, send, shared_keys, with_block
 from quillspark.llm._bytes import NOT_SPACE, HashIndex, Running, Words, cover, pieces, rows_of
-from quillspark.llm._spark import slim, table, text_bytes
+from quillspark.llm._spark import slim, table
 
 WINDOW, PERIOD = 35, 21
 #: A perfect difference set modulo 21.
@@ -64,10 +64,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     if window <= period or not is_cover(residues, period):
         raise ValueError("residues must be a difference cover modulo a period shorter than the window")
-    docs = slim(docs, doc_id, text)
-    total = text_bytes(docs)
-    n_buckets = buckets(total // 24)
-    blocks = in_blocks(docs, total)
+    cut = in_blocks(slim(docs, doc_id, text))
+    blocks, n_buckets = cut.docs, cut.buckets(cut.bytes // 24)
 
     def parts(column: pa.Array):
         for i, j in pieces(column):

@@ -5,8 +5,12 @@ are similar enough share a shingle among the first n - ceil(t n) + 1 of each, an
 with nobody. Classes that share such a shingle form a candidate group, found from (shingle, smallest class) rows. Each
 group is joined by a signature tree: nodes hold OR-combined token bitmaps, the bits all members have, and size ranges;
 a dual traversal drops node pairs by their largest possible overlap, and pairs of leaves are verified on the sets.
-Large groups are dealt out in chunks; every chunk holds the group's first class, and pairs of chunks are joined only
-where their members are not yet linked.
+
+A group of more than CHUNK_SETS sets is dealt out in chunks first, each with the group's first class: what is linked
+there is linked for all. A group that has unlinked members after that (unrelated sets that stock phrases chain together)
+is joined once more by the lists of its prefix shingles: each list whose members are not yet linked gets its own tree,
+equal lists once, long ones by bands of size. A set is then sent once for each list that it is in, not to the whole
+group.
 """
 
 from __future__ import annotations
@@ -16,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import BLOCK_BYTES, buckets, number, with_block
+from quillspark.llm._blocks import bucket_of, in_blocks, number, split_keys, with_block
+from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import NOT_SPACE, HashIndex, Running, Words, mix, pieces, rows_of
 from quillspark.llm._components import components
-from quillspark.llm._spark import slim, stored, table, text_bytes
+from quillspark.llm._spark import slim, stored, table
 
 SHINGLE, PERCENT = 5, 80
-#: Members and shingles of a chunk of a candidate group; children of a tree node; bytes of bitmaps compared at a time.
-CHUNK_SETS, CHUNK_TOKENS, FANOUT, COMPARED = 1024, 2_000_000, 8, 16 << 20
+#: Members and shingles of a chunk of a candidate group; children of a tree node; bytes of bitmaps compared and shingles
+#: verified at a time. No task of a group holds more than about 2 * CHUNK_SETS sets.
+CHUNK_SETS, CHUNK_TOKENS, FANOUT, COMPARED, VERIFIED = 512, 2_000_000, 8, 16 << 20, 1 << 20
+#: Sides of the rows of a join: a chunk of a group, sets with labels, and (0 and 1) the two sides of a pair of chunks.
+CHUNK, LABELLED = -2, -1
 
 
 class Sets:
@@ -65,10 +73,6 @@ FREQ = "bucket int, block int, keys binary, counts binary"
 FREQ_BACK = "block int, bucket int, keys binary, grades binary"
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _rows(schema: str, rows: list) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [c.split() for c in schema.split(", ")]
@@ -117,7 +121,7 @@ class Grades:
         return mix((bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64))
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        row = self.index.find(self._whole(_bucket(h, self.n), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+        row = self.index.find(self._whole(bucket_of(h, self.n), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
         return np.where(row >= 0, self.grades[row], 0) if len(self.grades) else np.zeros(len(h), np.uint8)
 
 
@@ -135,6 +139,10 @@ class Join:
             _, first, same = np.unique(label[self.order], return_index=True, return_inverse=True)
             self.root = first[same]
         self.links: list[tuple[int, int]] = []
+        # shingles as numbers below `kinds`, so that one search finds a shingle in any set
+        shingles, rank = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.kinds, self.start, self.rank = len(shingles), np.cumsum(self.size) - self.size, rank
+        self.flat = np.repeat(np.arange(len(sets)), self.size) * self.kinds + rank
         width = 256
         while width < 8 * np.median(self.size) and width < 1 << 14:
             width *= 2
@@ -150,14 +158,15 @@ class Join:
             at = np.arange(0, len(lo), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(a, at), np.bitwise_and.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
 
-    def _linked(self, i: int, j: int) -> bool:
-        x, y = self.sets[i], self.sets[j]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        both = int((y[at] == x).sum())
-        return 100 * both >= self.percent * (len(x) + len(y) - both)
+    def _linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs are similar enough, by the sets themselves."""
+        small = np.where(self.size[a] <= self.size[b], a, b)
+        large = a + b - small
+        n = self.size[small]
+        ask = np.repeat(large * self.kinds, n) + self.rank[ragged(self.start[small], n)]
+        at = np.minimum(np.searchsorted(self.flat, ask), len(self.flat) - 1)
+        both = np.add.reduceat(self.flat[at] == ask, np.cumsum(n) - n, dtype=np.int64)
+        return 100 * both >= self.percent * (self.size[a] + self.size[b] - both)
 
     def _verify(self, a: np.ndarray, b: np.ndarray) -> None:
         """Verifies pairs that are not yet linked, in blocks after each of which the linked ones are dropped."""
@@ -167,12 +176,16 @@ class Join:
             if self.side is not None:
                 open_ &= self.side[a] != self.side[b]
             a, b = a[open_], b[open_]
-            for i, j in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
-                if self.root[i] != self.root[j] and self._linked(i, j):
-                    self.links.append((i, j))
-                    lo, hi = sorted((self.root[i], self.root[j]))
-                    self.root[self.root == hi] = lo
-            a, b = a[step:], b[step:]
+            n = np.cumsum(np.minimum(self.size[a[:step]], self.size[b[:step]]))
+            k = max(1, int(np.searchsorted(n, VERIFIED)))
+            if len(a):
+                good = np.flatnonzero(self._linked(a[:k], b[:k]))
+                for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
+                    if self.root[i] != self.root[j]:
+                        self.links.append((i, j))
+                        lo, hi = sorted((self.root[i], self.root[j]))
+                        self.root[self.root == hi] = lo
+            a, b = a[k:], b[k:]
             step = min(4 * step, 4096)
 
     def _uniform(self) -> list[np.ndarray]:
@@ -228,13 +241,13 @@ class Join:
 
 def _chunk_links(percent: int):
     def links(table_: pa.Table) -> pa.Table:
-        """Links of a chunk, or of a pair of chunks if its rows have two sides."""
+        """Links of a chunk, of sets with labels, or of a pair of chunks."""
         sets = [np.frombuffer(x, np.uint64) for x in rows_of(table_, "tokens").to_pylist()]
         rep, side, label = (rows_of(table_, c).to_numpy(zero_copy_only=False) for c in ("rep", "side", "label"))
-        if (side < 0).any():
+        if (side == CHUNK).any():
             found = Join(sets, percent).run(hub=int(rep.argmin()))
         else:
-            found = Join(sets, percent, side, label).run()
+            found = Join(sets, percent, side if (side >= 0).all() else None, label).run()
         return pa.table([pa.array([int(rep[i]) for i, _ in found], pa.int64()), pa.array([int(rep[j]) for _, j in found], pa.int64())], ["a", "b"])
 
     return links
@@ -243,6 +256,7 @@ def _chunk_links(percent: int):
 EDGES = "a long, b long"
 KEYS = "kind int, bucket int, block int, keys binary, reps binary"
 TOKENS = "comp long, x int, y int, side int, label long, rep long, tokens binary"
+LISTED = "block int, comp long, key long, rep long, p long, label long, n long"
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -254,22 +268,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     smallest id that links reach. Null texts and texts without words have no shingles, link with nothing, and are
     their own class and component. Rows that repeat an id take part each with its own text.
     """
-    docs = slim(docs, doc_id, text)
-    total = text_bytes(docs)
-    n_blocks, n_buckets = max(1, -(-total // BLOCK_BYTES)), buckets(total // 6)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")
+    cut = in_blocks(slim(docs, doc_id, text))
+    blocks, n_buckets = cut.docs, cut.buckets(cut.bytes // 6)
 
     def prints(batches):
         for batch in batches:
-            column, ids = rows_of(batch, "text"), rows_of(batch, "doc_id")
+            column, ids, block = (rows_of(batch, c) for c in ("text", "doc_id", "block"))
             for i, j in pieces(column):
                 s = Sets(column.slice(i, j - i), shingle)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(s.n), *map(pa.array, s.prints())], ["doc_id", "n", "p", "q"])
+                yield pa.RecordBatch.from_arrays([block.slice(i, j - i), ids.slice(i, j - i), pa.array(s.n), *map(pa.array, s.prints())], ["block", "doc_id", "n", "p", "q"])
 
-    rows = stored(docs.mapInArrow(prints, "doc_id long, n long, p long, q long"), "set-prints")
-    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int").alias("block"), "rep", "p")
-    blocks = docs.select(block, "doc_id", "text")
+    rows = stored(blocks.mapInArrow(prints, "block int, doc_id long, n long, p long, q long"), "set-prints")
+    least = F.min(F.struct("doc_id", "block")).alias("least")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p", "q").agg(least)
+    classes = stored(classes.select("n", "p", "q", F.col("least.doc_id").alias("rep"), F.col("least.block").alias("block")), "classes")
+    reps = classes.select("block", "rep", "p")
 
     def own_sets(docs_: pa.Table, chosen: dict[tuple[int, int], int]):
         """(rep, sets, index of the set) for each class whose first row lies in this block, once."""
@@ -297,18 +310,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             keep[[x for _, x in at]] = True
             parts.append(s.h[keep[s.owner]])
         keys, count = np.unique(np.concatenate(parts), return_counts=True)
-        to = np.searchsorted(_bucket(keys, n_buckets), np.arange(n_buckets + 1))
         low, count = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
         b = number(docs_, "block")
-        return _rows(FREQ, [(k, b, low[x:y].tobytes(), count[x:y].tobytes()) for k, (x, y) in enumerate(zip(to[:-1].tolist(), to[1:].tolist(), strict=True)) if x < y])
+        return _rows(FREQ, [(k, b, low[x:y].tobytes(), count[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets)])
 
-    def second(docs_: pa.Table, back: pa.Table) -> pa.Table:
-        """Links of each class to the smallest class of this block with the same prefix shingle, and those for buckets."""
-        if not back.num_rows or not docs_.num_rows:
-            return _rows(KEYS, [])
-        grades, keys, reps_ = Grades(back, n_buckets), [], []
-        for s, at in own_sets(docs_, chosen_of(back)):
-            grade = grades.of(s.h)
+    def prefixes(docs_: pa.Table, back: pa.Table, chosen: dict):
+        """(rep, index of the set in its piece, prints, prefix shingles) of each chosen set that can have links."""
+        grades = Grades(back, n_buckets)
+        for s, at in own_sets(docs_, chosen):
+            grade, p = grades.of(s.h), s.prints()[0]
             for rep, x in at:
                 h, g = s.h[s.first[x] : s.first[x + 1]], grade[s.first[x] : s.first[x + 1]]
                 n = len(h)
@@ -316,21 +326,40 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 if len(here) < least_overlap(n, percent):
                     continue
                 most = n - least_overlap(n, percent) + 1 - (n - len(here))
-                here = here[np.lexsort((h[here], g[here]))[:most]]
-                keys.append(h[here])
-                reps_.append(np.full(len(here), rep))
+                yield rep, int(p[x]), n, h[here[np.lexsort((h[here], g[here]))[:most]]]
+
+    def second(docs_: pa.Table, back: pa.Table) -> pa.Table:
+        """Links of each class to the smallest class of this block with the same prefix shingle, and those for buckets."""
+        if not back.num_rows or not docs_.num_rows:
+            return _rows(KEYS, [])
+        keys, reps_ = [], []
+        for rep, _, _, h in prefixes(docs_, back, chosen_of(back)):
+            keys.append(h)
+            reps_.append(np.full(len(h), rep))
         if not keys:
             return _rows(KEYS, [])
         keys, reps_ = np.concatenate(keys), np.concatenate(reps_).astype(np.int64)
         keys, heads, edges = _to_first(keys, reps_)
-        to = np.searchsorted(_bucket(keys, n_buckets), np.arange(n_buckets + 1))
         b = number(docs_, "block")
-        out = [(0, k, b, keys[x:y].tobytes(), heads[x:y].tobytes()) for k, (x, y) in enumerate(zip(to[:-1].tolist(), to[1:].tolist(), strict=True)) if x < y]
+        out = [(0, k, b, keys[x:y].tobytes(), heads[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets)]
         return _rows(KEYS, [*out, (1, 0, b, edges[:, 0].tobytes(), edges[:, 1].tobytes())])
 
-    frequencies = with_block(blocks, reps, first, FREQ).groupBy("bucket").applyInArrow(_frequencies, FREQ_BACK)
+    def fourth(docs_: pa.Table, back: pa.Table) -> pa.Table:
+        """The lists of prefix shingles that the members of unlinked groups are in."""
+        if not back.num_rows or not docs_.num_rows:
+            return _rows(LISTED, [])
+        groups_ = {(r["rep"], r["p"]): (r["comp"], r["label"]) for r in back.select(["rep", "p", "comp", "label"]).to_pylist() if r["rep"] is not None}
+        block, out = number(docs_, "block"), []
+        for rep, p, n, h in prefixes(docs_, back, groups_):
+            comp, label = groups_[rep, p]
+            out += [(block, comp, key, rep, p, label, n) for key in h.view(np.int64).tolist()]
+        return _rows(LISTED, out)
+
+    frequencies = stored(with_block(blocks, reps, first, FREQ).groupBy("bucket").applyInArrow(_frequencies, FREQ_BACK), "grades")
     gone = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    back = frequencies.select("*", *gone(("rep", "long"), ("p", "long"))).unionByName(reps.select("*", *gone(("bucket", "int"), ("keys", "binary"), ("grades", "binary"))))
+    graded = frequencies.select("*", *gone(("rep", "long"), ("p", "long"), ("comp", "long"), ("label", "long")))
+    empty = gone(("bucket", "int"), ("keys", "binary"), ("grades", "binary"))
+    back = graded.unionByName(reps.select("*", *empty, *gone(("comp", "long"), ("label", "long"))))
     keyed = stored(with_block(blocks, back, second, KEYS), "prefix-keys")
     meet = keyed.where("kind = 0").groupBy("bucket").applyInArrow(_meet_first, EDGES)
     near = keyed.where("kind = 1").mapInArrow(_open_edges, EDGES)
@@ -341,9 +370,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sums = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     chunks = F.ceil(F.greatest(F.col("m") / CHUNK_SETS, F.col("t") / CHUNK_TOKENS)).cast("int")
     # a class that repeated ids share with another one keeps each of its sets
-    members = groups.join(classes.select(F.col("rep").alias("node"), "p"), "node").join(sums.select("root", chunks.alias("chunks")), "root")
+    members = groups.join(classes.select(F.col("rep").alias("node"), "p", "block"), "node").join(sums.select("root", chunks.alias("chunks")), "root")
     where = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-    members = stored(members.select("root", "node", "p", "chunks", where.alias("where")), "members")
+    members = stored(members.select("block", "root", "node", "p", "chunks", where.alias("where")), "members")
 
     def third(docs_: pa.Table, back: pa.Table) -> pa.Table:
         """The sets of a block's members for each chunk, or pair of chunks, that they are in."""
@@ -361,21 +390,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return _rows(TOKENS, out)
 
     def links(to: DataFrame) -> DataFrame:
-        to = to.select(F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int").alias("block"), "rep", "p", "comp", "x", "y", "side", "label")
+        to = to.select("block", "rep", "p", "comp", "x", "y", "side", "label")
         return with_block(blocks, to, third, TOKENS).groupBy("comp", "x", "y").applyInArrow(_chunk_links(percent), EDGES)
 
     none = F.lit(-1)
-    own = members.select(F.col("node").alias("rep"), "p", F.col("root").alias("comp"), F.explode("where").alias("x"), none.alias("y"), none.alias("side"), none.cast("long").alias("label"))
+    own = members.select("block", F.col("node").alias("rep"), "p", F.col("root").alias("comp"), F.explode("where").alias("x"), none.alias("y"), F.lit(CHUNK).alias("side"), none.cast("long").alias("label"))
     found = stored(links(own), "links")
     parts = components(found)
     big = members.where("chunks > 1")
     if big.limit(1).count():
-        state = big.join(parts, "node", "left").select("*", F.coalesce(parts["root"], members["node"]).alias("label")).select(members["root"].alias("comp"), members["node"].alias("rep"), "p", "chunks", F.element_at("where", 1).alias("own"), "label")
+        state = big.join(parts, "node", "left").select("block", members["root"].alias("comp"), members["node"].alias("rep"), "p", F.coalesce(parts["root"], members["node"]).alias("label"))
         open_ = state.groupBy("comp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("comp")
-        state = state.join(open_, "comp", "left_semi")
-        other = state.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> own")
-        pairs = other.select("rep", "p", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label")
-        found = stored(found.unionByName(links(pairs)), "links")
+        state = stored(state.join(open_, "comp", "left_semi"), "unlinked-groups")
+        lists = stored(with_block(blocks, graded.unionByName(state.select("*", *empty)), fourth, LISTED), "prefix-lists")
+        found = stored(found.unionByName(links(_by_list(lists, percent))), "links")
         parts = components(found)
     parts = parts.select(F.col("node").alias("rep"), "root")
     named = classes.join(parts, "rep", "left").select("n", "p", "q", "rep", F.coalesce("root", "rep").alias("root"))
@@ -383,6 +411,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def _by_list(lists: DataFrame, percent: int) -> DataFrame:
+    """Rows of links(): for each list with members that are not yet linked, its members, equal lists once.
+
+    Lists of more than CHUNK_SETS members are cut by size: sets that can link lie in the same band or in neighbouring
+    ones, so a set goes to the cell of its band and to the next. What is still too long is joined by pairs of chunks.
+    """
+    size = [F.count("*").alias("m"), F.sum("n").alias("t"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    print_ = F.sum(F.xxhash64("rep", "p").cast("decimal(38,0)")).alias("members")
+    known = lists.groupBy("comp", "key").agg(*size, print_).where("lo <> hi").groupBy("comp", "m", "members").agg(F.min(F.struct("key", "t")).alias("k"))
+    known = known.select("comp", F.col("k.key").alias("key"), ((F.col("m") > CHUNK_SETS) | (F.col("k.t") > CHUNK_TOKENS)).alias("long"))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    cell = F.explode(F.when(F.col("long"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("cell")
+    cells = lists.join(known, ["comp", "key"]).select("block", F.xxhash64("comp", "key").alias("comp"), "rep", "p", "label", "n", cell)
+    chunks = F.ceil(F.greatest(F.col("m") / CHUNK_SETS, F.col("t") / CHUNK_TOKENS)).cast("int").alias("chunks")
+    open_ = cells.groupBy("comp", "cell").agg(*size).where("lo <> hi").select("comp", "cell", chunks)
+    dealt = cells.join(open_, ["comp", "cell"]).withColumn("comp", F.xxhash64("comp", "cell")).withColumn("own", F.pmod(F.xxhash64("rep", "p"), F.col("chunks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), LABELLED).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return other.select("block", "rep", "p", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "label")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, whose id is the smallest of its component.
 

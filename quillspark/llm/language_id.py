@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from quillspark.llm._blocks import BLOCK_BYTES, number, with_block
+from quillspark.llm._blocks import number, with_block
 from quillspark.llm._bytes import HashIndex, mix, pieces, rows_of
 from quillspark.llm._spark import slim, stored, table, text_bytes
 
@@ -30,6 +30,8 @@ ORDER = 4
 SENT_CELLS = 1 << 22
 #: Bytes of text, and numbers of the model, to a hash bucket on average.
 BUCKET_BYTES, BUCKET_CELLS = 32 << 20, 1 << 21
+#: Bytes of text of a block that is scored by hash buckets.
+BLOCK_BYTES = 6 << 20
 #: One training row in so many is kept for calibration; standard deviations from its mean where rejection starts.
 CALIBRATE, REJECT_SD = 16, 6.0
 _START, _BLANK, _WIDE = 1, 2, 0xFFFF

@@ -2,17 +2,21 @@
 
 1. Every window of WINDOW bytes picks an anchor, the smallest K-gram hash in it, so equal windows pick equal anchors.
    Windows of one anchor form a context: a slice of the text in which each of them lies, split by which side of the
-   anchor is long. Its key is a hash of the anchor and the bytes that all windows of that side share. Contexts whose
-   key the corpus has once cannot repeat and go no further. A key with very many different contexts (a common line
-   shorter than a window) is split: its windows form contexts of half the width, whose keys take in more bytes, and so
-   on; at the last depth a context is one window and its key the whole of it.
+   anchor is long. Its key is a hash of the anchor and the bytes that all windows of that side share. Each block sends
+   its keys with the hashes of their contexts, at most BLOCK_CONTEXTS a key. Contexts whose key the corpus has once
+   cannot repeat and go no further. Where a block has more contexts of a key, the bucket asks it for all of them, or,
+   if the key may have more than MOST_CONTEXTS different ones (a common line shorter than a window), has the key split:
+   its windows form contexts of half the width, whose keys take in more bytes, and so on; at the last depth a context
+   is one window and its key the whole of it. Both limits are the same at every size.
 2. Equal contexts under a key are one row with a multiplicity, as equal runs are in a run-length index; every window of
    a context that occurs twice repeats. Contexts that share their key only with different ones, and one copy of each
    different one, go to the index of their bucket.
 3. An index is the Burrows-Wheeler transform of its contexts in runs, with the suffix position at each run's first and
-   last row and the length of the match with the neighbouring row there. Streaming over the text, the longest match
-   that starts at a position is the sampled length at the last run boundary before it less the distance, on either
-   side; positions where it reaches WINDOW start long matches.
+   last row and the length of the match with the neighbouring row there; the suffix array is dropped once they are
+   taken. Inside a run, a step to the preceding byte keeps neighbours and lengthens their match by one, so streaming
+   over the text, the longest match that starts at a position is the sampled length at the last run boundary before it
+   less the distance, on either side; positions where it reaches WINDOW start long matches. Only contexts of one key
+   can match, so an index works on whole keys, INDEX_BYTES at a time.
 
 Each window lies in exactly one context, so an index never sees the same place of the corpus twice.
 """
@@ -20,23 +24,26 @@ Each window lies in exactly one context, so an index never sees the same place o
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import BLOCK_BYTES, bucket_of, buckets, in_blocks, joined_keys, number, with_block
+from quillspark.llm._blocks import bucket_of, in_blocks, number, spans, split_keys, with_block
 from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import HashIndex, bytes_hash, cover, mix, pieces, rows_of, separated
-from quillspark.llm._spark import slim, stored, table, text_bytes
+from quillspark.llm._spark import slim, stored, table
 
 WINDOW, GRAM = 200, 32
-#: Bytes of contexts of one index, on average.
-INDEX_BYTES = 4 << 20
+#: Bytes of contexts of an index bucket on average, and most bytes (or one key) that are indexed at a time.
+BUCKET_BYTES, INDEX_BYTES = 8 << 20, 1 << 20
+#: Bytes of text worked on at a time (or one text).
+PIECE_BYTES = 1 << 20
 FULL, EDGE, COPY = 1, 2, 3
-#: A key is split if it has more different contexts than this and than SPREAD times the blocks (counted block by block).
-MOST_CONTEXTS, SPREAD = 4096, 4
+#: Contexts of a key that a block sends unasked, and different contexts beyond which a key is split.
+BLOCK_CONTEXTS, MOST_CONTEXTS = 8, 4096
 
 
 def _ranges(slack: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,14 +116,13 @@ class RunIndex:
     def __init__(self, text: np.ndarray, ends: np.ndarray):
         """ends: for each byte of text, where its string ends. Equal suffixes lie in the order of their strings."""
         n = len(text)
-        depth = int((ends - np.arange(n)).max(initial=0))
+        ends = ends.astype(np.int32)
+        depth = int((ends - np.arange(n, dtype=np.int32)).max(initial=0))
         self.n, self.ends = n, ends
         order = _suffixes(text, ends, depth)
         before = np.full(n, 256, dtype=np.int16)
         before[1:] = text[:-1]
-        first = np.ones(n, dtype=bool)
-        first[1:] = ends[1:] != ends[:-1]
-        before[first] = 256  # no byte stands before the start of a string
+        before[np.flatnonzero(np.diff(ends, prepend=-1))] = 256  # no byte stands before the start of a string
         bwt = before[order]
         head = np.ones(n, dtype=bool)
         head[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 256)
@@ -126,61 +132,66 @@ class RunIndex:
         # rows at run heads meet the row above, rows at run ends the row below
         self.head_at, self.last_at = order[run], order[last]
         above, below = order[np.maximum(run - 1, 0)], order[np.minimum(last + 1, n - 1)]
+        del order, bwt, before
         self.head_len = np.where(run > 0, _common(text, ends, self.head_at, above, depth), 0)
         self.last_len = np.where(last < n - 1, _common(text, ends, self.last_at, below, depth), 0)
 
     def longest(self) -> np.ndarray:
         """Length of the longest match elsewhere of what starts at each position, streamed from the samples."""
-        out = np.zeros(self.n, dtype=np.int64)
+        place = np.arange(self.n, dtype=np.int32)
+        out = np.zeros(self.n, dtype=np.int32)
         for at, length in ((self.head_at, self.head_len), (self.last_at, self.last_len)):
-            reach = np.full(self.n, -1, dtype=np.int64)
+            reach = np.full(self.n, -1, dtype=np.int32)
             reach[at] = at + length
-            seen = np.full(self.n, -1, dtype=np.int64)
+            seen = np.full(self.n, -1, dtype=np.int32)
             seen[at] = at
             seen = np.maximum.accumulate(seen)
-            out = np.maximum(out, np.where(seen >= 0, reach[np.maximum(seen, 0)] - np.arange(self.n), 0))
-        return np.minimum(out, self.ends - np.arange(self.n))
+            out = np.maximum(out, np.where(seen >= 0, reach[np.maximum(seen, 0)] - place, 0))
+        return np.minimum(out, self.ends - place)
 
 
 def _suffixes(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in order of their first `depth` bytes or up to their string's end; by prefix doubling."""
     n = len(text)
-    left = ends - np.arange(n)
+    place = np.arange(n, dtype=np.int32)
+    left = ends - place
     pad = np.concatenate([text, np.zeros(8, np.uint8)])
     value = np.lib.stride_tricks.as_strided(pad, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
-    short = np.minimum(left, 8)
+    short = np.minimum(left, 8).astype(np.uint8)
     mask = np.array([((1 << (8 * k)) - 1) << (8 * (8 - k)) for k in range(9)], dtype=np.uint64)
-    value = value & mask[short]
-    order = np.lexsort((short, value)) if (text == 0).any() else np.argsort(value, kind="stable")
+    value &= mask[short]
+    order = (np.lexsort((short, value)) if (text == 0).any() else np.argsort(value, kind="stable")).astype(np.int32)
+    ranked, short = value[order], short[order]
     same = np.zeros(n, dtype=bool)
-    same[1:] = (value[order][1:] == value[order][:-1]) & (short[order][1:] == short[order][:-1])
+    same[1:] = (ranked[1:] == ranked[:-1]) & (short[1:] == short[:-1])
+    del value, ranked, short, pad
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(same, 0, place))
     size = 8
     while True:
         # rank: row of the first of those equal so far
-        rows = np.where(same, 0, np.arange(n))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.maximum.accumulate(rows)
         tied = same.copy()
         tied[:-1] |= same[1:]
         tied = np.flatnonzero(tied)
         if size >= depth or not len(tied):
             return order
         at = order[tied]
-        more = left[at] > size
-        next_ = np.where(more, rank[np.minimum(at + size, n - 1)] + 1, 0)
-        by = np.argsort(rank[at] * (n + 1) + next_, kind="stable")
-        at, next_ = at[by], next_[by]
+        first = rank[at].astype(np.int64)
+        next_ = np.where(left[at] > size, rank[np.minimum(at + size, n - 1)] + 1, 0)
+        by = np.argsort(first * (n + 1) + next_, kind="stable")
+        at, first, next_ = at[by], first[by], next_[by]
         order[tied] = at
         again = np.zeros(len(at), dtype=bool)
-        again[1:] = (rank[at][1:] == rank[at][:-1]) & (next_[1:] == next_[:-1])
+        again[1:] = (first[1:] == first[:-1]) & (next_[1:] == next_[:-1])
         same[tied] = again
+        rank[at] = np.maximum.accumulate(np.where(again, 0, tied))
         size *= 2
 
 
 def _common(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, up to depth and their strings' ends."""
     most = np.minimum(np.minimum(ends[a] - a, ends[b] - b), depth)
-    out = np.zeros(len(a), dtype=np.int64)
+    out = np.zeros(len(a), dtype=np.int32)
     pad = np.concatenate([text, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(pad, (len(text), 8), (1, 1))
     rest = np.flatnonzero((most > 0) & (a != b))
@@ -195,10 +206,8 @@ def _common(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, de
     return np.minimum(out, most)
 
 
-KEYS = "bucket int, block int, keys binary, twice binary, kinds binary"
-KEYS_BACK = "block int, keys binary, split binary"
-PAIRS = "bucket int, block int, keys binary, hashes binary, twice binary"
-STATES = "block int, keys binary, hashes binary, states binary"
+SENT = "bucket int, block int, whole int, keys binary, kinds binary, hashes binary, twice binary"
+MET = "block int, keys binary, hashes binary, states binary, ask binary, split binary"
 TEXTS = "index int, block int, keys binary, hashes binary, states binary, sizes binary, bytes binary"
 FOUND = "block int, keys binary, hashes binary, sizes binary, marks binary"
 
@@ -215,82 +224,96 @@ def _column(table_: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _owners(table_: pa.Table) -> np.ndarray:
-    return np.repeat(np.array(rows_of(table_, "block").to_pylist(), dtype=np.int64), [len(x) // 8 for x in rows_of(table_, "keys").to_pylist()])
+def _per_key(table_: pa.Table, name: str) -> np.ndarray:
+    """The value of an int column for each key of each row."""
+    return np.repeat(np.array(rows_of(table_, name).to_pylist(), dtype=np.int64), [len(x) // 8 for x in rows_of(table_, "keys").to_pylist()])
 
 
-def _send_keys(block: int, pairs: np.ndarray, n_buckets: int) -> pa.Table:
-    """The keys of a block's contexts, each once: whether it occurs twice there, and with how many contexts."""
+def _by_block(block: np.ndarray):
+    """(block, positions) of each block, from one sort."""
+    order = np.argsort(block, kind="stable")
+    for b, x, y in spans(block[order]):
+        yield b, order[x:y]
+
+
+def _send(block: int, pairs: np.ndarray, n_buckets: int, whole: int) -> list:
+    """Rows of the keys of a block's contexts, each once, with how many different contexts it has there, and their hashes
+    if they are at most BLOCK_CONTEXTS, or all of them if `whole`."""
     pairs, count = _unique_pairs(pairs)
     keys, first, kinds = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-    twice = np.add.reduceat(count, first) > 1 if len(first) else np.zeros(0, bool)
+    given = kinds if whole else np.where(kinds <= BLOCK_CONTEXTS, kinds, 0)
+    sent = np.repeat(given > 0, kinds)
+    hashes, twice, at = pairs[sent, 1], count[sent] > 1, np.concatenate([[0], np.cumsum(given)])
     kinds = np.minimum(kinds, 65535).astype(np.uint16)
-    at = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
-    return _table(KEYS, [(b, block, keys[x:y].tobytes(), twice[x:y].tobytes(), kinds[x:y].tobytes()) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if x < y])
-
-
-def _meet_keys(most: int):
-    def meet(table_: pa.Table) -> pa.Table:
-        """To each block those of its keys that occur elsewhere or twice, apart those with more than `most` contexts."""
-        keys, twice, kinds, block = _column(table_, "keys", np.uint64), _column(table_, "twice", np.uint8).astype(bool), _column(table_, "kinds", np.uint16), _owners(table_)
-        found, at, times = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = (times > 1) | (np.bincount(at, twice, len(found)) > 0)
-        split = np.bincount(at, kinds, len(found)) > most
-        rows = []
-        for b in np.unique(block):
-            own = block == b
-            good, wide = own & (shared & ~split)[at], own & (shared & split)[at]
-            if good.any() or wide.any():
-                rows.append((int(b), keys[good].tobytes(), keys[wide].tobytes()))
-        return _table(KEYS_BACK, rows)
-
-    return meet
-
-
-def _states(table_: pa.Table) -> pa.Table:
-    """For each block, its contexts that may repeat: FULL, EDGE, or COPY (full, and to be sent to the index)."""
-    keys, hashes = _column(table_, "keys", np.uint64), _column(table_, "hashes", np.uint64)
-    twice, block = _column(table_, "twice", np.uint8).astype(bool), _owners(table_)
-    order = np.lexsort((block, hashes, keys))
-    k, h = keys[order], hashes[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    new_pair = new_key | np.concatenate([[True], h[1:] != h[:-1]]) if len(k) else new_key
-    pair, group = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
-    times = np.bincount(pair, weights=1 + twice[order]) if len(k) else np.zeros(0)
-    kinds = np.bincount(group, weights=new_pair) if len(k) else np.zeros(0)
-    full = times[pair] > 1
-    edges = np.bincount(group, weights=~full) if len(k) else np.zeros(0)
-    state = np.where(full, np.where(new_pair & (edges[group] > 0), COPY, FULL), np.where(kinds[group] > 1, EDGE, 0)).astype(np.uint8)
-    rows = []
-    b = block[order]
-    for x in np.unique(b):
-        at = np.flatnonzero((b == x) & (state > 0))
-        if len(at):
-            rows.append((int(x), k[at].tobytes(), h[at].tobytes(), state[at].tobytes()))
-    return _table(STATES, rows)
+    return [(b, block, whole, keys[x:y].tobytes(), kinds[x:y].tobytes(), hashes[at[x] : at[y]].tobytes(), twice[at[x] : at[y]].tobytes()) for b, x, y in split_keys(keys, n_buckets)]
+
+
+def _meet(table_: pa.Table) -> pa.Table:
+    """To each block, its contexts that may repeat with their states (FULL, EDGE, or COPY: full, and to be sent to the
+    index), the keys of which it is to send all contexts, and those to be split."""
+    keys, kinds, block, whole = _column(table_, "keys", np.uint64), _column(table_, "kinds", np.uint16).astype(np.int64), _per_key(table_, "block"), _per_key(table_, "whole")
+    given = np.where((whole > 0) | (kinds <= BLOCK_CONTEXTS), kinds, 0)
+    found, at = np.unique(keys, return_inverse=True)
+    # contexts that came with their hashes, in the order of keys, hashes and blocks
+    owner = np.repeat(np.arange(len(keys)), given)
+    hashes, twice = _column(table_, "hashes", np.uint64), _column(table_, "twice", np.uint8).astype(np.int64)
+    order = np.lexsort((block[owner], hashes, at[owner]))
+    k, h, owner, twice = at[owner[order]], hashes[order], owner[order], twice[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    pair = np.cumsum(new) - 1
+    full = np.bincount(pair, 1 + twice)[pair] > 1 if len(k) else new
+    # of each key: contexts that stayed behind, different ones at most, those that occur once, and occurrences
+    behind = np.bincount(at, kinds * (given == 0), len(found))
+    distinct = np.bincount(k, new, len(found)) + behind
+    edges = np.bincount(k, ~full, len(found))
+    shared = np.bincount(k, 1 + twice, len(found)) + behind > 1
+    split = shared & (distinct > MOST_CONTEXTS)
+    ask = shared & ~split & (behind > 0)
+    state = np.where(full, np.where(new & (edges[k] > 0), COPY, FULL), np.where(distinct[k] > 1, EDGE, 0)).astype(np.uint8)
+    good = (state > 0) & ~(split | ask)[k]
+    rows: dict[int, list] = {}
+    states = np.flatnonzero(good)
+    for b, own in _by_block(block[owner[states]]):
+        own = states[own]
+        rows[b] = [found[k[own]].tobytes(), h[own].tobytes(), state[own].tobytes(), b"", b""]
+    for x, marked in ((3, ask), (4, split)):
+        some = np.flatnonzero(marked[at])
+        for b, own in _by_block(block[some]):
+            rows.setdefault(b, [b""] * 5)[x] = keys[some[own]].tobytes()
+    return _table(MET, [(b, *x) for b, x in rows.items()])
 
 
 def _indexed(window: int):
     def index(table_: pa.Table) -> pa.Table:
-        """Builds the index of a bucket and returns, for each EDGE context, which of its windows repeat."""
+        """Indexes the contexts of a bucket, whole keys at a time, and returns which windows of each EDGE context repeat."""
         keys, hashes, states = _column(table_, "keys", np.uint64), _column(table_, "hashes", np.uint64), _column(table_, "states", np.uint8)
-        sizes, text, block = _column(table_, "sizes", np.int32).astype(np.int64), _column(table_, "bytes", np.uint8), _owners(table_)
-        at = np.cumsum(sizes) - sizes
-        ends = np.repeat(at + sizes, sizes)
-        longest = RunIndex(text, ends).longest()
-        rows = []
-        edge = np.flatnonzero(states == EDGE)
-        n = sizes[edge] - window + 1
-        repeats = longest[ragged(at[edge], n)] >= window
-        some = np.add.reduceat(repeats, np.cumsum(n) - n) > 0 if len(edge) else np.zeros(0, bool)
-        kept = np.repeat(some, n)
-        edge, n, repeats = edge[some], n[some], repeats[kept]
-        first = np.cumsum(n) - n
-        for x in np.unique(block[edge]):
-            own = np.flatnonzero(block[edge] == x)
-            marks = repeats[ragged(first[own], n[own])]
-            rows.append((int(x), keys[edge[own]].tobytes(), hashes[edge[own]].tobytes(), n[own].astype(np.int32).tobytes(), np.packbits(marks).tobytes()))
-        return _table(FOUND, rows)
+        sizes, text, block = _column(table_, "sizes", np.int32).astype(np.int64), _column(table_, "bytes", np.uint8), _per_key(table_, "block")
+        start = np.cumsum(sizes) - sizes
+        order = np.lexsort((hashes, keys))
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = keys[order][1:] != keys[order][:-1]
+        # the bytes before each key; a part begins with the first key past each multiple of INDEX_BYTES
+        before = (np.cumsum(sizes[order]) - sizes[order])[head] // INDEX_BYTES
+        rows, marks = [], []
+        for _, x, y in spans(before[np.cumsum(head) - 1]):
+            own = order[x:y]
+            size = sizes[own]
+            at = np.cumsum(size) - size
+            longest = RunIndex(text[ragged(start[own], size)], np.repeat(at + size, size)).longest()
+            edge = np.flatnonzero(states[own] == EDGE)
+            n = size[edge] - window + 1
+            repeats = longest[ragged(at[edge], n)] >= window
+            some = np.add.reduceat(repeats, np.cumsum(n) - n) > 0 if len(edge) else np.zeros(0, bool)
+            rows.append(own[edge[some]])
+            marks.append(repeats[np.repeat(some, n)])
+        rows, marks = np.concatenate(rows), np.concatenate(marks)
+        n = sizes[rows] - window + 1
+        first, out = np.cumsum(n) - n, []
+        for b, own in _by_block(block[rows]):
+            at = rows[own]
+            out.append((b, keys[at].tobytes(), hashes[at].tobytes(), n[own].astype(np.int32).tobytes(), np.packbits(marks[ragged(first[own], n[own])]).tobytes()))
+        return _table(FOUND, out)
 
     return index
 
@@ -303,68 +326,56 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     strings are judged on the input. n_spans counts maximal removed runs. A row that repeats (same id and text)
     makes all its windows repeated.
     """
-    docs = slim(docs, doc_id, text)
-    total = text_bytes(docs)
-    n_buckets = buckets(total // 40)
-    blocks = in_blocks(docs, total)
-
-    most = max(MOST_CONTEXTS, SPREAD * -(-total // BLOCK_BYTES))
+    cut = in_blocks(slim(docs, doc_id, text))
+    blocks, n_buckets = cut.docs, cut.buckets(cut.bytes // 40)
 
     def parts(docs_: pa.Table):
         column = rows_of(docs_, "text")
-        for i, j in pieces(column):
+        for i, j in pieces(column, PIECE_BYTES):
             yield Contexts(column.slice(i, j - i), window)
 
     def first(docs_: pa.Table) -> pa.Table:
-        return _send_keys(number(docs_, "block"), np.concatenate([np.column_stack([c.key, c.hash]) for c in parts(docs_)]), n_buckets)
-
-    def narrower(depth: int):
-        def send_keys(docs_: pa.Table, back: pa.Table) -> pa.Table:
-            split = HashIndex(np.sort(_column(back, "split", np.uint64))) if back.num_rows else HashIndex(np.zeros(0, np.uint64))
-            if not docs_.num_rows or not len(split.keys):
-                return _table(KEYS, [])
-            pairs = []
-            for c in parts(docs_):
-                own = c.at_depth(depth).under(depth, split)
-                pairs.append(np.column_stack([c.key[own], c.hash[own]]))
-            return _send_keys(number(docs_, "block"), np.concatenate(pairs), n_buckets)
-
-        return send_keys
+        return _table(SENT, _send(number(docs_, "block"), np.concatenate([np.column_stack([c.key, c.hash]) for c in parts(docs_)]), n_buckets, 0))
 
-    def second(depth: int):
-        def send_pairs(docs_: pa.Table, back: pa.Table) -> pa.Table:
+    def further(depth: int):
+        def send(docs_: pa.Table, back: pa.Table) -> pa.Table:
+            """All contexts of the keys that were asked for at the depth before, and narrower ones of those to be split."""
             if not docs_.num_rows or not back.num_rows:
-                return _table(PAIRS, [])
-            shared, pairs = HashIndex(joined_keys(back)), []
+                return _table(SENT, [])
+            ask, split = (HashIndex(np.sort(_column(back, c, np.uint64))) for c in ("ask", "split"))
+            block, asked, narrower = number(docs_, "block"), [np.zeros((0, 2), np.uint64)], [np.zeros((0, 2), np.uint64)]
             for c in parts(docs_):
-                hit = shared.find(c.at_depth(depth).key) >= 0
-                pairs.append(np.column_stack([c.key[hit], c.hash[hit]]))
-            pairs, count = _unique_pairs(np.concatenate(pairs))
-            at = np.searchsorted(bucket_of(pairs[:, 0], n_buckets), np.arange(n_buckets + 1))
-            block = number(docs_, "block")
-            return _table(PAIRS, [(b, block, pairs[x:y, 0].tobytes(), pairs[x:y, 1].tobytes(), (count[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if x < y])
+                own = ask.find(c.at_depth(depth - 1).key) >= 0
+                asked.append(np.column_stack([c.key[own], c.hash[own]]))
+                if len(split.keys):
+                    own = c.at_depth(depth).under(depth, split)
+                    narrower.append(np.column_stack([c.key[own], c.hash[own]]))
+            return _table(SENT, _send(block, np.concatenate(asked), n_buckets, 1) + _send(block, np.concatenate(narrower), n_buckets, 0))
 
-        return send_pairs
+        return send
 
     def third(n_indexes: int, depths: int):
         def send_texts(docs_: pa.Table, back: pa.Table) -> pa.Table:
             if not docs_.num_rows or not back.num_rows:
                 return _table(TEXTS, [])
-            known, hashes, states = _lookup(back)
-            block, out, sent = number(docs_, "block"), {}, set()
+            known, _, states = _lookup(back)
+            copied, out = np.zeros(len(states), dtype=bool), []
             for c in (c.at_depth(d) for c in parts(docs_) for d in range(depths)):
                 row = known.find(c.key ^ mix(c.hash))
-                for x in np.flatnonzero(row >= 0).tolist():
-                    state = int(states[row[x]])
-                    if state == FULL or (state == COPY and row[x] in sent):
-                        continue
-                    sent.add(row[x])
-                    to = int(bucket_of(c.key[x : x + 1], n_indexes)[0])
-                    slot = out.setdefault(to, [[], [], [], [], []])
-                    slot[0].append(c.key[x]), slot[1].append(c.hash[x]), slot[2].append(state)
-                    a, b = int(c.first[x]), int(c.first[x] + c.n[x] - 1 + window)
-                    slot[3].append(b - a), slot[4].append(c.data[a:b].tobytes())
-            return _table(TEXTS, [(to, block, np.array(s[0], np.uint64).tobytes(), np.array(s[1], np.uint64).tobytes(), bytes(s[2]), np.array(s[3], np.int32).tobytes(), b"".join(s[4])) for to, s in out.items()])
+                state = np.where(row >= 0, states[row], 0) if len(states) else np.zeros(len(row), np.uint8)
+                # one copy of a context that occurs several times
+                copy = np.flatnonzero(state == COPY)
+                _, once = np.unique(row[copy], return_index=True)
+                copy = copy[once][~copied[row[copy[once]]]]
+                copied[row[copy]] = True
+                x = np.concatenate([np.flatnonzero(state == EDGE), copy])
+                size = c.n[x] - 1 + window
+                out.append((bucket_of(c.key[x], n_indexes), c.key[x], c.hash[x], state[x].astype(np.uint8), size.astype(np.int32), c.data[ragged(c.first[x], size)]))
+            to, key, hash_, state, size, raw = (np.concatenate(x) for x in zip(*out, strict=True))
+            at = np.cumsum(size, dtype=np.int64) - size
+            return _table(TEXTS, [
+                (b, number(docs_, "block"), key[own].tobytes(), hash_[own].tobytes(), state[own].tobytes(), size[own].tobytes(), raw[ragged(at[own], size[own])].tobytes()) for b, own in _by_block(to)
+            ])
 
         return send_texts
 
@@ -408,26 +419,25 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out[3] += [hashlib.sha256(plain[x:y]).hexdigest() for x, y in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
         return pa.table([ids, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    states, depth = None, 0
-    sent = blocks.groupBy("block").applyInArrow(first, KEYS)
+    met, depth = [], 0
+    sent = blocks.groupBy("block").applyInArrow(first, SENT)
     while True:
-        back = stored(sent.groupBy("bucket").applyInArrow(_meet_keys(most), KEYS_BACK), "context-keys")
-        now = with_block(blocks, back, second(depth), PAIRS).groupBy("bucket").applyInArrow(_states, STATES)
-        states = now if states is None else states.unionByName(now)
+        met.append(stored(sent.groupBy("bucket").applyInArrow(_meet, MET), "contexts"))
         depth += 1
-        wide = back.where(F.length("split") > 0)
-        if depth == len(_ranges(window - GRAM)) or wide.limit(1).count() == 0:
+        open_ = met[-1].where("length(ask) + length(split) > 0").select("block", "ask", "split")
+        if open_.limit(1).count() == 0:
             break
-        sent = with_block(blocks, wide, narrower(depth), KEYS)
-    states = stored(states, "context-states")
+        sent = with_block(blocks, open_, further(depth), SENT)
+    states = reduce(DataFrame.unionAll, met).where("length(states) > 0").select("block", "keys", "hashes", "states")
+    depths = min(depth, len(_ranges(window - GRAM)))
     # as many indexes as the contexts to be indexed need: their number follows from the states
     n_contexts = states.select(F.sum(F.length(F.regexp_replace(F.hex("states"), "01", "")) / 2).alias("n")).first()["n"] or 0
-    n_indexes = max(4, int(n_contexts * (window + 45)) // INDEX_BYTES + 1)
-    texts = with_block(blocks, states, third(n_indexes, depth), TEXTS)
+    n_indexes = max(4, int(n_contexts * (window + 45)) // BUCKET_BYTES + 1)
+    texts = with_block(blocks, states, third(n_indexes, depths), TEXTS)
     found = texts.groupBy("index").applyInArrow(_indexed(window), FOUND)
     back = states.select("*", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("marks")).unionByName(
         found.withColumn("states", F.lit(None).cast("binary")))
-    return with_block(blocks, back, lambda a, b: last(a, b, depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_block(blocks, back, lambda a, b: last(a, b, depths), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _unique_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

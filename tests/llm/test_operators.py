@@ -43,7 +43,7 @@ def test_run_index(docs):
 def test_run_index_splits_keys_of_many_contexts(spark, docs, monkeypatch):
     """Down to single windows: a line shorter than a window, between different words, in every text."""
     monkeypatch.setattr(run_index, "MOST_CONTEXTS", 1)
-    monkeypatch.setattr(run_index, "SPREAD", 0)
+    monkeypatch.setattr(run_index, "BLOCK_CONTEXTS", 1)
     assert rows_of(run_index.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == order(H.brute_bytes(ROWS))
     line = H.words(400, 30)
     rows = [(i, H.words(500 + i, 30) + " " + line + " " + H.words(600 + i // 2, 40) + " " + H.words(700 + i, 30)) for i in range(12)]
