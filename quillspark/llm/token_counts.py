@@ -23,9 +23,9 @@ SAMPLE_BYTES, TABLE_ENTRIES = 24 << 20, 1 << 18
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def frequent_pieces(docs: DataFrame, path: str = PATH, sample_bytes: int = SAMPLE_BYTES, entries: int = TABLE_ENTRIES) -> _bpe.PieceTable:
-    """The most frequent pre-tokens of a sample of slim documents with their ids; it has at most `entries` rows."""
-    total = text_bytes(docs)
+def frequent_pieces(docs: DataFrame, path: str = PATH, sample_bytes: int = SAMPLE_BYTES, entries: int = TABLE_ENTRIES, total: int | None = None) -> _bpe.PieceTable:
+    """The most frequent pre-tokens of a sample of slim documents with their ids; it has at most `entries` rows. total: bytes of all texts, where known."""
+    total = text_bytes(docs) if total is None else total
     specials = _bpe.added(path)
 
     def count(batches):

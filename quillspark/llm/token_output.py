@@ -1,10 +1,11 @@
 """Token-id output compressed by Re-Pair grammars.
 
-Documents are range-partitioned by doc_id, encoded, and cut into frames of some 2**18 ids. In each frame, rounds of
-Re-Pair replace frequent pairs of neighbouring symbols by new symbols until none is frequent enough or 16-bit symbols
-run out. A frame stores its rules, the number of ids each rule expands to, and the remaining symbols, so that the ids
-at any position are found by a search in the running sum of expansion lengths and a local expansion. Frames are rows
-of Parquet files; positions of documents across files follow from the ids that each range partition holds.
+Documents are range-partitioned by doc_id (or taken in the order that they have), encoded, and cut into frames of some
+2**18 ids. In each frame, rounds of Re-Pair count all pairs of neighbouring symbols exactly and replace the frequent
+ones by new symbols, the more frequent first where they overlap, until no pair is frequent enough. A frame stores its
+rules, the number of ids each rule expands to, and the remaining symbols in 16 bits, or in 32 where 16 are too few, so
+that the ids at any position are found by a search in the running sum of expansion lengths and a local expansion.
+Frames are rows of Parquet files; positions of documents across files follow from the ids of each partition.
 """
 
 from __future__ import annotations
@@ -25,90 +26,81 @@ from quillspark.llm.token_counts import PATH, frequent_pieces, shipped
 
 #: Ids of a frame before compression (a longer document has a frame of its own).
 FRAME_IDS = 1 << 18
-#: A pair becomes a rule if it is replaced at least so often; a rule costs four bytes and its expansion length.
-LEAST_USES, RULES_A_ROUND = 8, 4096
-#: Rules of a round below which pairs are counted themselves from then on.
-FEW_RULES = 64
-_BINS = 1 << 18
+#: A pair becomes a rule if it is replaced at least so often: a rule costs four bytes and its expansion length, each use
+#: saves two.
+LEAST_USES = 4
+#: Pairs of a round, slots of the table that finds them, and sweeps that settle overlaps; what is left waits a round.
+RULES_A_ROUND, _SLOT_BITS, _SWEEPS = 1 << 15, 20, 8
 
-FRAMES = "part int, before long, n_ids long, base int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
+FRAMES = "part int, before long, n_ids long, base int, width int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): symbol base + r stands for symbols left[r], right[r], which come before it.
 
-    In each round all pairs are counted in hash bins; the pair seen last in each of the fullest bins becomes a rule.
-    Where pairs overlap, every other one of a row is replaced. Once bins give no rule any more, pairs are counted
-    themselves, until none has LEAST_USES places that do not overlap or symbols run out.
+    No pair of symbols is left that has LEAST_USES places which do not overlap each other.
     """
-    seq = ids.astype(np.int32)
-    left, right = np.zeros(0, np.int32), np.zeros(0, np.int32)
-    binned = True
-    while True:
-        room = min(RULES_A_ROUND, (1 << 16) - base - len(left))
-        if len(seq) < 2 * LEAST_USES or room <= 0:
-            break
-        pair = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        at = _in_bins(pair, room) if binned else _frequent(pair, room)
-        if not len(at) and not binned:
+    seq, rules, n_rules = ids.astype(np.int64), [np.zeros(0, np.int64)], 0
+    while len(seq) >= 2 * LEAST_USES:
+        pair = (seq[:-1] << 32) | seq[1:]
+        apart = np.ones(len(pair), dtype=bool)
+        twin = np.flatnonzero(seq[:-1] == seq[1:])
+        apart[twin] = False
+        apart[every_other(twin)] = True
+        ranked = np.sort(pair[apart])
+        head = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
+        count = np.diff(np.append(head, len(ranked)))
+        some = np.flatnonzero(count >= LEAST_USES)
+        if not len(some):
             break
-        at = every_other(at)
-        keys, rule, uses = np.unique(pair[at], return_inverse=True, return_counts=True)
+        keys = ranked[head[some[np.argsort(-count[some], kind="stable")[:RULES_A_ROUND]]]]
+        at, rule = _places(pair, apart, keys)
+        uses = np.bincount(rule, minlength=len(keys))
         good = uses >= LEAST_USES
-        if not good.any():
-            if binned:
-                binned = False
-                continue
-            # frequent pairs that take each other's places: the most frequent one alone
-            at = every_other(_frequent(pair, 1))
-            keys, rule, good = pair[at[:1]], np.zeros(len(at), np.int64), np.ones(1, bool)
-        # few rules a round: counting pairs themselves finds all of them at once
-        binned = binned and good.sum() >= FEW_RULES
-        number = np.cumsum(good) - 1
-        keep = good[rule]
+        good[0] = True  # no place of the most frequent pair was given away
+        number, keep = np.cumsum(good) - 1, good[rule]
         at, rule, keys = at[keep], number[rule[keep]], keys[good]
-        seq[at] = base + len(left) + rule
+        seq[at] = base + n_rules + rule
         rest = np.ones(len(seq), dtype=bool)
         rest[at + 1] = False
         seq = seq[rest]
-        left, right = np.append(left, (keys >> 32).astype(np.int32)), np.append(right, (keys & 0xFFFFFFFF).astype(np.int32))
-    return seq, left, right
-
-
-def _bins(pair: np.ndarray) -> np.ndarray:
-    return ((pair * 0x5851F42D4C957F2D) >> 40) & (_BINS - 1)
-
-
-def _in_bins(pair: np.ndarray, room: int) -> np.ndarray:
-    """Positions of the pairs seen last in each of the `room` fullest hash bins."""
-    bins = _bins(pair)
-    count = np.bincount(bins, minlength=_BINS)
-    full = np.flatnonzero(count >= LEAST_USES)
-    if len(full) > room:
-        full = full[np.argpartition(-count[full], room)[:room]]
-    hot = np.zeros(_BINS, dtype=bool)
-    hot[full] = True
-    at = np.flatnonzero(hot[bins])
-    chosen = np.zeros(_BINS, dtype=np.int64)
-    chosen[bins[at]] = pair[at]
-    return at[chosen[bins[at]] == pair[at]]
-
-
-def _frequent(pair: np.ndarray, room: int) -> np.ndarray:
-    """Positions of the `room` most frequent pairs with at least LEAST_USES places that do not overlap."""
-    twin = (pair >> 32) == (pair & 0xFFFFFFFF)
-    apart = ~twin
-    apart[every_other(np.flatnonzero(twin))] = True
-    bins = _bins(pair)
-    # a frequent pair's bin is at least as full
-    where = np.flatnonzero(apart & (np.bincount(bins[apart], minlength=_BINS) >= LEAST_USES)[bins])
-    _, which, count = np.unique(pair[where], return_inverse=True, return_counts=True)
-    top = np.flatnonzero(count >= LEAST_USES)
-    if len(top) > room:
-        top = top[np.argpartition(-count[top], room)[:room]]
-    hot = np.zeros(len(count), dtype=bool)
-    hot[top] = True
-    return where[hot[which]]
+        rules.append(keys)
+        n_rules += len(keys)
+    pairs = np.concatenate(rules)
+    return seq.astype(np.int32), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair * 0x5851F42D4C957F2D) >> (63 - _SLOT_BITS)) & ((1 << _SLOT_BITS) - 1)
+
+
+def _places(pair: np.ndarray, apart: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, index of the pair) of the pairs `keys`, most frequent first, none next to another.
+
+    Of neighbouring places the one of the more frequent pair stays, then the first. A pair whose slot a more frequent
+    one has waits for the next round.
+    """
+    slot = np.full(1 << _SLOT_BITS, -1, np.int32)
+    slot[_slot(keys[::-1])] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
+    rule = slot[_slot(pair)]
+    at = np.flatnonzero((rule >= 0) & apart)
+    at = at[keys[rule[at]] == pair[at]]
+    n, none = len(at), np.iinfo(np.int64).max
+    order = rule[at].astype(np.int64) * n + np.arange(n)
+    near = np.zeros(n + 1, dtype=bool)
+    near[1:-1] = at[1:] == at[:-1] + 1
+    keep, open_ = np.zeros(n, dtype=bool), np.ones(n, dtype=bool)
+    for _ in range(_SWEEPS):
+        own = np.full(n + 2, none)
+        own[1:-1][open_] = order[open_]
+        wins = open_ & (own[1:-1] < np.where(near[:-1], own[:-2], none)) & (own[1:-1] < np.where(near[1:], own[2:], none))
+        if not wins.any():
+            break
+        keep |= wins
+        open_ &= ~wins
+        open_[:-1] &= ~(wins[1:] & near[1:-1])
+        open_[1:] &= ~(wins[:-1] & near[1:-1])
+    return at[keep], rule[at[keep]]
 
 
 def every_other(at: np.ndarray) -> np.ndarray:
@@ -147,11 +139,14 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int)
         seq = out
 
 
+def _numbers(frame: dict, name: str) -> np.ndarray:
+    return np.frombuffer(frame[name], f"<u{frame['width']}").astype(np.int32)
+
+
 def ids_between(frame: dict, start: int, stop: int) -> np.ndarray:
     """Ids start .. stop - 1 of a frame without expanding the rest."""
     base = frame["base"]
-    left, right = np.frombuffer(frame["left"], "<u2").astype(np.int32), np.frombuffer(frame["right"], "<u2").astype(np.int32)
-    symbols = np.frombuffer(frame["symbols"], "<u2").astype(np.int32)
+    left, right, symbols = (_numbers(frame, c) for c in ("left", "right", "symbols"))
     spans = np.concatenate([np.ones(base, np.int64), np.frombuffer(frame["spans"], "<u4").astype(np.int64)])
     ends = np.cumsum(spans[symbols])
     a = int(np.searchsorted(ends, start, side="right"))
@@ -160,26 +155,33 @@ def ids_between(frame: dict, start: int, stop: int) -> np.ndarray:
     return expand(symbols[a:b], left, right, base)[skip : skip + stop - start]
 
 
-def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = PATH, end_id: int = 0) -> DataFrame:
-    """The stored frames of all documents in ascending doc_id, each document's ids followed by end_id.
+def packed(ids: np.ndarray, base: int) -> dict:
+    """A frame's grammar as stored: width (bytes of a symbol), left, right, spans, symbols."""
+    symbols, left, right = compress(ids, base)
+    width = 2 if base + len(left) <= 1 << 16 else 4
+    spans = spans_of(left, right, base)
+    return {"base": base, "width": width, **{k: v.astype(f"<u{width}").tobytes() for k, v in (("left", left), ("right", right), ("symbols", symbols))}, "spans": spans.astype("<u4").tobytes()}
+
+
+def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = PATH, end_id: int = 0, by_id: bool = True) -> DataFrame:
+    """The stored frames of all documents, each document's ids followed by end_id.
 
-    Null texts count as empty and have the end id alone; a null doc_id comes first. Rows that repeat an id lie side by
-    side, ordered by their texts. No rows give no frames.
+    Documents are written in ascending doc_id, or, without by_id, in the order that the rows and partitions of `docs`
+    have, without a shuffle. Null texts count as empty and have the end id alone; by id, a null doc_id comes first and
+    rows that repeat an id lie side by side, ordered by their texts. No rows give no frames.
     """
     docs = slim(docs, doc_id, text)
     spark = docs.sparkSession
-    encoder = shipped(spark, frequent_pieces(docs, path), path)
+    total = text_bytes(docs)
+    encoder = shipped(spark, frequent_pieces(docs, path, total=total), path)
     base = _bpe.tokenizer(path).get_vocab_size(with_added_tokens=True)
-    if base >= 1 << 16:
-        raise ValueError("frames hold 16-bit symbols; this vocabulary has too many")
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
 
     def frame(before: int, parts: list):
         ids = np.concatenate([p[0] for p in parts])
-        symbols, left, right = compress(ids, base)
-        spans = spans_of(left, right, base)
-        row = [TaskContext.get().partitionId(), before, len(ids), base, *(x.astype("<u2").tobytes() for x in (left, right)), spans.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), [i for p in parts for i in p[1]], [n for p in parts for n in p[2]]]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in FRAMES.split(", ")])
+        row = {"part": TaskContext.get().partitionId(), "before": before, "n_ids": len(ids), **packed(ids, base), "doc_ids": [i for p in parts for i in p[1]], "doc_lens": [n for p in parts for n in p[2]]}
+        return pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in zip(names, kinds, strict=True)], names)
 
     def encode(batches):
         before, parts, held = 0, [], 0
@@ -196,14 +198,16 @@ def write_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
         if parts:
             yield frame(before, parts)
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) >> 26)
-    frames = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FRAMES)
+    if by_id:
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26)
+        docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    frames = docs.mapInArrow(encode, FRAMES)
     return stored(frames, "token-frames")
 
 
 def read_documents(frames: DataFrame) -> DataFrame:
     """One row per document, decoded from the frames: doc_id, start, n_tokens, ids_crc32."""
-    # a frame knows the ids before it in its range partition; one row a partition adds those of earlier partitions
+    # a frame knows the ids before it in its partition; one row a partition adds those of earlier partitions
     sizes = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", earlier.alias("earlier"))
@@ -211,7 +215,7 @@ def read_documents(frames: DataFrame) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                left, right, symbols = (np.frombuffer(row[c], "<u2").astype(np.int32) for c in ("left", "right", "symbols"))
+                left, right, symbols = (_numbers(row, c) for c in ("left", "right", "symbols"))
                 raw = expand(symbols, left, right, row["base"]).astype("<u4").tobytes()
                 lens = np.array(row["doc_lens"], dtype=np.int64)
                 ends = np.cumsum(lens)
