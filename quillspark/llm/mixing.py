@@ -69,27 +69,32 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
     return raw.select("source", "n_docs", "n_bytes", share.alias("weight"), rate.alias("rate"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED, marks: bool = True) -> DataFrame:
     """The mixture: all columns of the input, then mix_copy (0, 1, ..) and mix_key, rows in ascending mix_key.
 
     A document with count 0 does not appear. Rows that repeat an id get equal counts. Null texts have no bytes, but
-    are drawn at their source's rate. Columns of the input named mix_copy or mix_key are replaced. An empty input
-    gives no rows.
+    are drawn at their source's rate. Columns of the input named mix_copy or mix_key are replaced; without `marks` those
+    of the input stay and none is added. Other columns stay as they are, whatever their names. An empty input gives no
+    rows.
     """
-    rates = source_rates(docs, source, text, weights, epochs, temperature).select(F.col("source").alias("mix_source"), _steps("rate").alias("mix_steps"))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = F.broadcast(rates) if few else rates
-    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_key", "mix_source", "mix_steps")]
-    kept = [f"`{c}`" for c in kept]
-    docs = docs.select(*kept)
-    held = docs.join(rates, docs[source].eqNullSafe(F.col("mix_source")))
-    u = uniform(seed, F.col(doc_id))
+    rates = source_rates(docs, source, text, weights, epochs, temperature)
+    size = rates.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes")).first()
+    rates = rates.select(F.col("source").alias("mix_source"), _steps("rate").alias("mix_steps"))
+    rates = F.broadcast(rates) if size["n"] <= BROADCAST_SOURCES else rates
+    # columns travel under plain names, so that none can clash
+    names = [c for c in docs.columns if not (marks and c in ("mix_copy", "mix_key"))]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    held = plain.join(rates, at[source].eqNullSafe(F.col("mix_source")))
+    u = uniform(seed, at[doc_id])
     # P(X <= k - 1) <= u < P(X <= k): as many steps lie at or below u as the document has copies
     times = F.size(F.filter("mix_steps", lambda p: p <= u))
     copies = held.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
-    shuffled = copies.withColumn("mix_key", uniform(seed + 1, F.col(doc_id), F.col("mix_copy")))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shuffled.repartitionByRange(n, "mix_key").sortWithinPartitions("mix_key").select(*kept, "mix_copy", "mix_key")
+    copies = copies.select(*[at[c] for c in names], "mix_copy", uniform(seed + 1, at[doc_id], F.col("mix_copy")).alias("mix_key"))
+    # the key is uniform, so its leading part is the number of its range: no sampling pass
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size["n_bytes"] * epochs) >> 27)
+    out = copies.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key")
+    return out.toDF(*names, "mix_copy", "mix_key") if marks else out.drop("mix_copy", "mix_key").toDF(*names)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
