@@ -1,9 +1,11 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
 Rows are grouped by the length of the normalised text, then by a hash of its first characters, then by a full digest.
-Each step works only on rows whose group of the step before has more than one row. Groups are counted with partial
-aggregation, so a group that holds a third of all rows costs each task one row, and rows meet their group's result
-in an equi-join that AQE can split.
+Each step works only on rows whose group of the step before has more than one row. The texts are read once for lengths
+and prefix hashes, and once more for the digests of surviving rows; where every row is to have its digest, both come
+from one pass. Groups are counted with partial aggregation, so a group that holds a third of all rows costs each task
+one row; groups of more than HOT_GROUP rows, which can only be few, are broadcast to their rows, the others meet them in
+an equi-join of small groups.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from quillspark.llm._spark import bounded, stored
 DELETED = " \t\n\x0b\x0c\r"
 #: Rows of a key table up to which it may be broadcast (three 8-byte columns each).
 BROADCAST_ROWS = 100_000
+#: Rows of a group beyond which it is broadcast; more, where BROADCAST_ROWS such groups could exist.
+HOT_GROUP = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -33,28 +37,31 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     other. Of equal texts the one with the most code points in the original stays, on a tie the smallest id. Rows that
     repeat an id with equal text all carry keep_id; only one of them could be told from the other by nothing, so each
     says kept if its id is keep_id. digest is the SHA-256 of the normalised text: of rows that reach the last step, or
-    of all rows with digest_all. A null id is never kept over a known one. No rows give no rows.
+    of all rows with digest_all. Of texts of one length a null id is never kept over a known one; ids may be of any type that
+    has an order. No rows give no rows.
     """
     base = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).select(
         "doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm")
     )
-    base = base.withColumn("n_norm", F.octet_length("norm"))
+    full = F.sha2("norm", 256)
+    head = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("head")
+    headed = base.select("doc_id", "n_chars", F.octet_length("norm").alias("n_norm"), head, "norm", full.alias("digest"))
+    rows = stored(headed.drop("norm") if digest_all else headed.drop("norm", "digest"), "lengths-and-heads")
     # 1: lengths that occur more than once
-    lengths = bounded(stored(base.groupBy("n_norm").agg(F.count("*").alias("n")).where("n > 1").select("n_norm"), "lengths"), BROADCAST_ROWS)
+    lengths = bounded(stored(rows.groupBy("n_norm").agg(F.count("*").alias("n")).where("n > 1").select("n_norm"), "lengths"), BROADCAST_ROWS)
     # 2: of those, (length, prefix hash) pairs that occur more than once
-    headed = base.select("doc_id", "n_chars", "n_norm", F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("head"), "norm")
-    heads = headed.drop("norm").join(lengths, "n_norm", "left_semi").groupBy("n_norm", "head").agg(F.count("*").alias("n")).where("n > 1")
+    heads = rows.join(lengths, "n_norm", "left_semi").groupBy("n_norm", "head").agg(F.count("*").alias("n")).where("n > 1")
     heads = bounded(stored(heads.select("n_norm", "head", F.lit(True).alias("deep")), "heads"), BROADCAST_ROWS)
     # 3: the full digest, of the rows of those pairs
-    full = F.sha2("norm", 256)
-    deep = headed.join(heads, ["n_norm", "head"], "left").select(
-        "doc_id", "n_chars", "deep", (full if digest_all else F.when(F.col("deep"), full)).alias("digest")
-    )
-    deep = stored(deep, "digests")
-    rank = F.struct("n_chars", F.when(F.col("doc_id").isNotNull(), -F.col("doc_id")).alias("back"))
-    groups = deep.where("deep").groupBy("digest").agg(F.count("*").alias("group_size"), F.max(rank).alias("best"))
-    groups = groups.where("group_size > 1").select("digest", "group_size", (-F.col("best.back")).alias("keep_id"))
-    found = deep.join(groups, "digest", "left")
+    deep = (rows if digest_all else headed.drop("digest")).join(heads, ["n_norm", "head"], "left")
+    deep = stored(deep.select("doc_id", "n_chars", "deep", "digest" if digest_all else F.when(F.col("deep"), full).alias("digest")), "digests")
+    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    groups = deep.where("deep").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(rank).alias("best"))
+    groups = stored(groups.where("group_size > 1").select("digest", "group_size", F.col("best.doc_id").alias("keep_id")), "groups")
+    # groups of more rows than this are fewer than BROADCAST_ROWS
+    hot = max(HOT_GROUP, deep.count() // max(BROADCAST_ROWS, 1))
+    large = F.broadcast(groups.where(F.col("group_size") > hot))
+    found = deep.join(large, "digest").unionByName(deep.join(large, "digest", "left_anti").join(groups.where(F.col("group_size") <= hot), "digest", "left"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
