@@ -304,14 +304,18 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """A model from (doc_id, text) and (doc_id, toxic); some `most` labels are used, chosen by a hash of the id."""
+    """A model from (doc_id, text) and (doc_id, toxic); some `most` labels are used, chosen by a hash of the id.
+
+    Of rows that repeat an id the one of the least text is learned from, so rows are no more than labels. Of labels that
+    repeat an id the greatest counts.
+    """
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, most / max(n, 1))
     some = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     # a hash keeps some sqrt(most) more or less than `most` rows of two numbers
-    chosen = docs.join(F.broadcast(some), "doc_id")
+    chosen = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     chosen = stored(chosen.select("doc_id", "text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), part_of(F.col("doc_id")).alias("part")), "toxic-train")
     lexicons = learn_lexicons(chosen)
     sent = spark.sparkContext.broadcast(lexicons)
