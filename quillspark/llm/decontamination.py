@@ -5,13 +5,15 @@ so with containment 1 the necessary prefix in any fixed order is one shingle; th
 counted over all documents. One pass looks up those prefix shingles, bounds each candidate by position and length
 (the window must fit into the document's words around the shingle), and verifies it word by word.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words; what one block hits is kept in a bitmap column while
-the next block passes, so a large benchmark costs more passes and no more memory.
+The benchmark is broadcast in blocks of some BLOCK_WORDS words, which take about 500 bytes a word on the driver and in each
+worker. A larger benchmark costs a pass over the texts for each block: a pass keeps only bitmaps of the documents that
+its block hits, and the bitmaps of a document meet at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import ALNUM, HashIndex, Running, Words, cover, pieces, rows_of
 from quillspark.llm._spark import filtered, slim, stored, table
 
-WINDOW, SHINGLE, BLOCK_WORDS = 10, 3, 2_000_000
+WINDOW, SHINGLE, BLOCK_WORDS = 10, 3, 100_000
 
 
 class Windows:
@@ -107,8 +109,8 @@ def _blocks(items: DataFrame, item_id: str, text: str, most: int):
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // (4 * most)))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows], k == n - 1
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
+        yield rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), n
 
 
 def _counts(docs: DataFrame, sent) -> np.ndarray:
@@ -126,12 +128,12 @@ def _counts(docs: DataFrame, sent) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["token", "n"])
 
     out = np.zeros(len(sent.value.index.keys), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        out[r["token"]] = r["n"]
+    found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("token").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-MARKED = "doc_id long, text string, hits binary, items array<string>"
+MARKED = "doc_id long, row long, hits binary, items array<string>"
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -141,27 +143,34 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     of an item that has fewer. Null texts have no words; items without words are never found; a null item id counts as
     the id `null`. Repeated rows and ids give a row each. Empty tables are fine on either side.
     """
-    docs = slim(docs, doc_id, text)
+    docs = slim(docs, doc_id, text).withColumn("row", F.lit(0).cast("long"))
     spark = docs.sparkSession
-    marked = None
-    for ids, texts, last in _blocks(items, item_id, item_text, block_words):
+    passes = []
+    for ids, texts, n in _blocks(items, item_id, item_text, block_words):
+        if n > 1 and not passes:
+            # rows get a number that is the same in each pass
+            docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
         block = Windows(ids, texts, window)
         sent = spark.sparkContext.broadcast(block)
         block.prefix(_counts(docs, sent))
         sent.unpersist()
-        ready = spark.sparkContext.broadcast(block)
-        source = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items")) if marked is None else stored(marked, "marked")
-        marked = source.mapInArrow(_marker(ready, last), MARKED)
+        marked = docs.mapInArrow(_marker(spark.sparkContext.broadcast(block), len(passes) == n - 1), MARKED)
+        passes.append(marked if n == 1 else stored(marked, "marked"))
+    if len(passes) > 1:
+        marked = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "row").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    else:
+        marked = passes[0].withColumn("hits", F.array("hits"))
     empty = hashlib.sha256(b"").hexdigest()
 
     def finish(batches):
         for batch in batches:
             hits, found = rows_of(batch, "hits").to_pylist(), rows_of(batch, "items").to_pylist()
             n, k = [], []
-            for h in hits:
-                bits = np.unpackbits(np.frombuffer(h[8:], np.uint8))
-                n.append(int.from_bytes(h[:8], "little"))
-                k.append(int(bits.sum()))
+            for parts in hits:
+                # the number of words, then a bitmap of those that are hit, if there are any
+                marks = [np.frombuffer(h[8:], np.uint8) for h in parts if len(h) > 8]
+                n.append(int.from_bytes(parts[0][:8], "little"))
+                k.append(int(np.bitwise_count(np.bitwise_or.reduce(marks)).sum()) if marks else 0)
             sets = [sorted(set(x)) if x else [] for x in found]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else empty for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -197,35 +206,25 @@ def _keeper(sent):
     return keep
 
 
-def _marker(sent, last: bool):
-    """Adds what one block hits; the texts travel on only if another block follows."""
+def _marker(sent, every: bool):
+    """What one block hits: rows with the number of words and a bitmap, of all documents or of those that it hits."""
 
     def mark(batches):
         w = sent.value
         for batch in batches:
-            text, ids, before, had = (rows_of(batch, c) for c in ("text", "doc_id", "hits", "items"))
+            text, ids, rows = (rows_of(batch, c) for c in ("text", "doc_id", "row"))
             for i, j in pieces(text):
-                part = text.slice(i, j - i)
-                words = Words(part, ALNUM, lowered=True)
+                words = Words(text.slice(i, j - i), ALNUM, lowered=True)
                 window, start = w.occurrences(words)
                 hit = cover(len(words), start, start + w.size[window]) if len(window) else np.zeros(len(words), dtype=bool)
                 owner = words.text_of()[start]
                 sets: dict[int, set] = {}
                 for d, x in set(zip(owner.tolist(), window.tolist(), strict=True)):
                     sets.setdefault(d, set()).update(w.items[w.item_at[x] : w.item_at[x + 1]])
-                old, known = before.slice(i, j - i).to_pylist(), had.slice(i, j - i).to_pylist()
-                bits, items = [], []
-                any_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), np.minimum(words.first[:-1], len(words))) > 0 if len(part) else []
-                for d in range(j - i):
-                    n = int(words.counts[d])
-                    row = hit[words.first[d] : words.first[d + 1]] if n and any_hit[d] else np.zeros(0, bool)
-                    packed = np.packbits(row)
-                    if old[d] is not None and len(old[d]) > 8:
-                        packed = packed if len(packed) else np.zeros(-(-n // 8), np.uint8)
-                        packed = packed | np.frombuffer(old[d][8:], np.uint8)
-                    bits.append(n.to_bytes(8, "little") + packed.tobytes())
-                    items.append(sorted(sets.get(d, set()).union(known[d] or ())))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.nulls(j - i, pa.string()) if last else part, pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+                some = range(j - i) if every else sorted(sets)
+                bits = [int(words.counts[d]).to_bytes(8, "little") + (np.packbits(hit[words.first[d] : words.first[d + 1]]).tobytes() if d in sets else b"") for d in some]
+                at = pa.array(list(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), rows.slice(i, j - i).take(at), pa.array(bits, pa.binary()), pa.array([sorted(sets.get(d, ())) for d in some], pa.list_(pa.string()))], ["doc_id", "row", "hits", "items"])
 
     return mark
 
