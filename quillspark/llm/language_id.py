@@ -34,25 +34,27 @@ BUCKET_BYTES, BUCKET_CELLS = 32 << 20, 1 << 21
 BLOCK_BYTES = 6 << 20
 #: One training row in so many is kept for calibration; standard deviations from its mean where rejection starts.
 CALIBRATE, REJECT_SD = 16, 6.0
-_START, _BLANK, _WIDE = 1, 2, 0xFFFF
+_START, _BLANK = 1, 2
 UNKNOWN = "und"
 
 
 @cache
 def _letters() -> np.ndarray:
-    """Lower-case letter of each code point; blank for what is no letter; one symbol for letters beyond 16 bits."""
-    out = np.full(0x110000, _BLANK, dtype=np.uint16)
+    """Lower-case letter of each code point; blank for what is no letter."""
+    out = np.full(0x110000, _BLANK, dtype=np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()
-            low = ord(low) if len(low) == 1 else c
-            out[c] = low if low < _WIDE else _WIDE
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
 class Chars:
-    """The letters of some texts, each text after ORDER - 1 start marks; white space and signs are one blank."""
+    """The letters of some texts, each text after ORDER - 1 start marks; white space and signs are one blank.
+
+    Symbols have 16 bits: a letter beyond them is two symbols, as in UTF-16.
+    """
 
     def __init__(self, column: pa.Array):
         texts = column.to_pylist()
@@ -66,8 +68,15 @@ class Chars:
         kept = np.concatenate([[0], np.cumsum(keep)])
         letter = np.concatenate([[0], np.cumsum(code != _BLANK)])
         self.has_letter = letter[ends] > letter[starts]
-        lens = kept[ends] - kept[starts]
-        code = np.insert(code[keep], np.repeat(kept[starts], ORDER - 1), _START).astype(np.uint64)
+        code = code[keep]
+        wide = code > 0xFFFF
+        at = np.concatenate([[0], np.cumsum(1 + wide)])
+        starts, lens = at[kept[starts]], at[kept[ends]] - at[kept[starts]]
+        over = code[wide] - 0x10000
+        code = np.repeat(code, 1 + wide)
+        second = at[1:][wide] - 1
+        code[second - 1], code[second] = 0xD800 + (over >> 10), 0xDC00 + (over & 0x3FF)
+        code = np.insert(code, np.repeat(starts, ORDER - 1), _START).astype(np.uint64)
         #: Positions of text i: first[i] .. first[i + 1] - 1; its start marks lie before first[i] in `code`.
         self.n = lens
         mark = np.cumsum(lens + ORDER - 1) - lens
