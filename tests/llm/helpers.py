@@ -8,7 +8,7 @@ import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside; a table may have them too.
-CLASH = ["block", "keys", "norm", "n_norm", "head", "digest", "rep", "p", "q", "hits", "items", "held_out", "mix_copy", "mix_key", "source_", "weird.name", "part", "u"]
+CLASH = ["block", "keys", "norm", "n_norm", "head", "digest", "rep", "p", "q", "hits", "items", "held_out", "mix_copy", "mix_key", "mix_times", "mix_source", "mix_steps", "row", "size", "text_", "c0", "source_", "weird.name", "part", "u"]
 
 
 def words(seed: int, n: int, vocabulary: int = 60) -> str:
@@ -147,3 +147,90 @@ def brute_jaccard(rows, n=5):
         if r[0] is not None:
             low[find(i)] = min(low.get(find(i), r[0]), r[0])
     return [(r[0], len(sets[i]), low.get(find(i))) for i, r in enumerate(rows)]
+
+
+def plain_features(lexicon, text: str) -> list[float]:
+    """The toxicity features of one text, word by word."""
+    import math
+
+    import numpy as np
+
+    from quillspark.llm import toxicity as T
+    from quillspark.llm._bytes import bytes_hash
+
+    raw = text.encode()
+    low = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in raw)
+    hash_ = lambda b: int(bytes_hash(np.frombuffer(b, np.uint8)).slices(np.array([0]), np.array([len(b)]))[0])
+    word_odds = dict(zip(lexicon.word.keys.tolist(), lexicon.word_odds.tolist(), strict=True))
+    stem_odds = dict(zip(lexicon.stem.keys.tolist(), lexicon.stem_odds.tolist(), strict=True))
+    spans = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff@$*]+", low)]
+    words = [low[a:b] for a, b in spans]
+    odds = [word_odds.get(hash_(w), None) for w in words]
+    stems, mixed, hidden = [], [], []
+    for w in words:
+        best = 0.0
+        for k in T.STEMS:
+            if len(w) > k and w[k] & 0xC0 != 0x80:
+                best = max(best, stem_odds.get(hash_(w[:k]) ^ (int(T._SALT) + k), 0.0))
+        stems.append(best)
+        mixed.append(any(b < 0x61 for b in w) and any(b >= 0x61 for b in w))
+        unmasked = bytes(ord(T.LEET.get(chr(b), chr(b))) if b < 0x80 else b for b in w)
+        hidden.append(mixed[-1] and hash_(unmasked) in word_odds)
+    second = [w.decode("utf-8", "replace") in T.SECOND_PERSON for w in words]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    near = sum((o is not None or s > 0 or h) and any(second[max(0, i - T.NEAR) : i + T.NEAR + 1]) for i, (o, s, h) in enumerate(zip(odds, stems, hidden, strict=True)))
+    hits = [o for o in odds if o is not None]
+    upper, alpha = sum(0x41 <= b <= 0x5A for b in raw), sum(0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0xC0 for b in raw)
+    shout = sum(b - a > 1 and all(0x41 <= x <= 0x5A for x in raw[a:b]) for a, b in spans)
+    twice = sum(a in b"!?" and b in b"!?" for a, b in zip(raw, raw[1:], strict=False))
+    thrice = sum(a == b == c >= 0x61 for a, b, c in zip(low, low[1:], low[2:], strict=False))
+    return [
+        math.log1p(len(words)), len(hits) / n, len(hits), sum(hits) / n, max(hits, default=0.0), sum(s > 0 for s in stems) / n, sum(s > 0 for s in stems), max(stems, default=0.0),
+        sum(hidden) / n, sum(hidden), near / n, sum(second) / n, upper / max(alpha, 1), shout / n, raw.count(b"!") / size, raw.count(b"?") / size, twice / size, sum(mixed) / n, thrice / size,
+        sum(0x30 <= b <= 0x39 for b in raw) / size,
+    ]
+
+
+def plain_score(model, text: str | None) -> float:
+    """Features, then each tree from its root, then the point of the isotonic curve."""
+    import math
+
+    x = plain_features(model.lexicon, text or "")
+    total = model.trees.start
+    for feature, cut, value in model.trees.trees:
+        node = 0
+        for _ in range(model.trees.depth):
+            f = feature[node]
+            node = 2 * node + (2 if sum(c < x[f] for c in model.trees.cuts[f]) > cut[node] else 1)
+        total += value[node - (2**model.trees.depth - 1)]
+    at, p = model.curve
+    if not len(at):
+        return 1 / (1 + math.exp(-total))
+    if total <= at[0] or total >= at[-1]:
+        return float(p[0] if total <= at[0] else p[-1])
+    k = next(i for i in range(1, len(at)) if at[i] > total)
+    return float(p[k - 1] + (p[k] - p[k - 1]) * (total - at[k - 1]) / (at[k] - at[k - 1]))
+
+
+def brute_mix(rows, exponent: float, seed: int) -> list[tuple]:
+    """The rows of the mixture, each as often as the inverted Poisson distribution says, by source (column 3)."""
+    import math
+
+    size: dict = {}
+    for r in rows:
+        size[r[3]] = size.get(r[3], 0) + len((r[1] or "").encode())
+    weight = {s: n**exponent if n else 0.0 for s, n in size.items()}
+    out = []
+    for r in rows:
+        n = size[r[3]]
+        rate = weight[r[3]] / sum(weight.values()) * sum(size.values()) / n if n else 1.0
+        u = int(hashlib.md5(f"{seed}|{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p, total = 0, math.exp(-rate), 0.0
+        while True:
+            total += p
+            if u < total:
+                break
+            k += 1
+            p *= rate / k
+        out += [r] * k
+    return out

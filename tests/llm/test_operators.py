@@ -151,7 +151,8 @@ def test_grammar_round_trip():
         symbols, left, right = token_output.compress(ids, 50257)
         assert (token_output.expand(symbols, left, right, 50257) == ids).all()
         spans = token_output.spans_of(left, right, 50257)
-        frame = {"base": 50257, "left": left.astype("<u2").tobytes(), "right": right.astype("<u2").tobytes(), "spans": spans.astype("<u4").tobytes(), "symbols": symbols.astype("<u2").tobytes()}
+        frame = token_output.packed(ids, 50257)
+        assert frame["width"] == 2 and frame["spans"] == spans.astype("<u4").tobytes()
         for a, b in ((0, 1), (3, 200), (len(ids) - 5, len(ids))):
             if 0 <= a < b <= len(ids):
                 assert (token_output.ids_between(frame, a, b) == ids[a:b]).all()
@@ -166,13 +167,37 @@ def test_grammar_has_no_frequent_pair_left():
     for ids in (np.tile(passage, 20), skewed, np.zeros(50000, np.int64)):
         symbols, left, right = token_output.compress(ids.astype(np.int32), 50257)
         assert (token_output.expand(symbols, left, right, 50257) == ids).all()
-        if len(left) < (1 << 16) - 50257:
-            count: dict = {}
-            last: dict = {}
-            for i, p in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
-                if last.get(p, -2) != i - 1:
-                    count[p], last[p] = count.get(p, 0) + 1, i
-            assert max(count.values(), default=0) < token_output.LEAST_USES
+        count: dict = {}
+        last: dict = {}
+        for i, p in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+            if last.get(p, -2) != i - 1:
+                count[p], last[p] = count.get(p, 0) + 1, i
+        assert max(count.values(), default=0) < token_output.LEAST_USES
+
+
+def test_grammar_of_many_rules_or_ids_has_wide_symbols():
+    r = np.random.default_rng(4)
+    for ids, base in ((np.tile(r.integers(0, 50257, 70000), 4), 50257), (np.tile(r.integers(0, 200000, 300), 9), 200000)):
+        frame = token_output.packed(ids, base)
+        assert frame["width"] == 4
+        for a, b in ((0, 5), (len(ids) // 2, len(ids) // 2 + 700), (len(ids) - 9, len(ids))):
+            assert (token_output.ids_between(frame, a, b) == ids[a:b]).all()
+        assert (token_output.expand(*(token_output._numbers(frame, c) for c in ("symbols", "left", "right")), base) == ids).all()
+
+
+def test_grammar_takes_the_most_frequent_pair_first():
+    """x y is more frequent than y z: where they overlap, x y is replaced."""
+    ids = np.array([1, 2, 3] * 20 + [1, 2, 9, 1, 2, 8] * 10 + [2, 3, 7] * 5)
+    _, left, right = token_output.compress(ids, 10)
+    assert (left[0], right[0]) == (1, 2)
+
+
+def test_token_output_in_the_order_of_rows(spark):
+    rows = [(9, "one two"), (3, None), (9, "one two"), (None, "three"), (1, "")]
+    frames = token_output.write_frames(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), by_id=False)
+    got = token_output.read_documents(frames).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got][:-1]).tolist()
 
 
 def test_exact_dedup(docs):
@@ -222,6 +247,27 @@ def test_jaccard_chunks_find_all_links(spark, monkeypatch):
     assert order(tuple(r) for r in got.collect()) == order(H.brute_jaccard(rows))
 
 
+def test_jaccard_chain_of_stock_phrases(spark, monkeypatch):
+    """Sets that share phrases with their neighbours, none similar enough: one group, nothing linked, rows linear in it."""
+    n, sent = 5000, []
+    phrase = [H.words(10_000 + i, 8) for i in range(n + 2)]
+    rows = [(i, " ".join(phrase[i : i + 3])) for i in range(n)] + [(n + i, " ".join(phrase[i : i + 3]) + " end") for i in range(0, n, 500)]
+    plain = jaccard_join._by_list
+
+    def counted(*args):
+        out = plain(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_by_list", counted)
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["component_id"] == (r["doc_id"] if r["doc_id"] < n else r["doc_id"] - n)
+    # a set is in few lists, though the group has all sets
+    assert sent and 0 < sent[0] < 8 * n
+
+
 def test_one_of_each(docs):
     got = [tuple(r) for r in jaccard_join.one_of_each(docs).select("doc_id").collect()]
     roots = {c for i, _, c in H.brute_jaccard(ROWS) if i is not None}
@@ -313,6 +359,78 @@ def test_language_id_learns_rows_set_aside(spark):
     assert out[only] == out[2001] == "aa" and out[2000] == "zh"
 
 
+def kneser_ney(rows, text):
+    """Cross-entropy per symbol of a text under each language, from dicts: the textbook formula, order 4."""
+    import unicodedata
+
+    def symbols(t):
+        out = []
+        for ch in t:
+            if unicodedata.category(ch)[0] == "L":
+                low = ch.lower()
+                raw = (low if len(low) == 1 else ch).encode("utf-16-le")
+                out += [raw[i : i + 2] for i in range(0, len(raw), 2)]
+            elif not out or out[-1] != " ":
+                out.append(" ")
+        return ["^"] * 3 + out
+
+    def grams(t, n):
+        s = symbols(t)
+        return [tuple(s[i - n + 1 : i + 1]) for i in range(3, len(s))]
+
+    langs = sorted({r[2] for r in rows if r[2]})
+    counts = {}
+    for lang in langs:
+        c: dict = {}
+        for r in rows:
+            for g in grams(r[1], 4) if r[2] == lang else ():
+                c[g] = c.get(g, 0) + 1
+        counts[lang] = [c]
+        for _ in range(3):
+            low: dict = {}
+            for g in counts[lang][0]:
+                low[g[1:]] = low.get(g[1:], 0) + 1
+            counts[lang].insert(0, low)
+    vocab = len({g for c in counts.values() for g in c[0]}) + 1
+
+    def p(c, g):
+        if not g:
+            return 1 / vocab
+        own = c[len(g) - 1]
+        n1, n2 = max(sum(v == 1 for v in own.values()), 1), max(sum(v == 2 for v in own.values()), 1)
+        d = n1 / (n1 + 2 * n2)
+        after = [v for k, v in own.items() if k[:-1] == g[:-1]]
+        if not after:
+            return p(c, g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(after) * (g in own) + min(d * len(after) / sum(after), 1) * p(c, g[1:])
+
+    found = grams(text, 4)
+    return {lang: -sum(np.log(p(counts[lang], g)) for g in found) / len(found) for lang in langs}
+
+
+def test_language_id_equals_brute_force(spark, monkeypatch):
+    """Entropies of a model that train() made, sent whole or in buckets, are those of the formula."""
+    wide = "".join(chr(0x10400 + i) for i in range(12)) + " " + "".join(chr(0x10428 + 2 * i) for i in range(9))
+    rows = [(i, H.words(800 + i, 12) + (" " + wide if i % 4 == 0 else ""), ["aa", "bb"][i % 2]) for i in range(20)]
+    asked = [(100, H.words(900, 6)), (101, wide[3:9] + " x"), (102, rows[3][1]), (103, "zzz " + H.words(901, 3))]
+    want = {i: kneser_ney(rows, t) for i, t in asked}
+    df = spark.createDataFrame([*rows, *[(i, t, None) for i, t in asked]], "doc_id long, text string, lang string")
+    for cells in (language_id.SENT_CELLS, 0):
+        monkeypatch.setattr(language_id, "SENT_CELLS", cells)
+        for r in language_id.identify(df).where("doc_id >= 100").collect():
+            e = want[r["doc_id"]]
+            assert abs(r["entropy"] - min(e.values())) < 1e-4 and r["lang_pred"] == min(e, key=e.get)
+
+
+def test_language_id_tells_letters_beyond_16_bits_apart(spark):
+    """Two languages whose letters all lie beyond 16 bits."""
+    r = np.random.default_rng(8)
+    word = lambda low: "".join(chr(x) for x in r.integers(low, low + 20, 6))
+    rows = [(i, " ".join(word([0x10400, 0x10A00][i % 2]) for _ in range(20)), ["dsr", "khr"][i % 2]) for i in range(40)]
+    out = {x["doc_id"]: x for x in language_id.identify(spark.createDataFrame([*rows, (100, rows[0][1][:30], None), (101, rows[1][1][:30], None)], "doc_id long, text string, lang string")).collect()}
+    assert (out[100]["lang_pred"], out[101]["lang_pred"]) == ("dsr", "khr") and out[100]["score"] > 0.9
+
+
 def test_language_id_by_buckets(spark, docs, sf_dir, monkeypatch):
     """A model too large to broadcast gives the answers of the one that is sent."""
     real = spark.read.parquet(f"{sf_dir}/documents.parquet")
