@@ -40,7 +40,7 @@ WINDOW, GRAM = 200, 32
 #: Bytes of contexts of an index bucket on average, and most bytes (or one key) that are indexed at a time.
 BUCKET_BYTES, INDEX_BYTES = 8 << 20, 1 << 20
 #: Bytes of text worked on at a time (or one text).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 FULL, EDGE, COPY = 1, 2, 3
 #: Contexts of a key that a block sends unasked, and different contexts beyond which a key is split.
 BLOCK_CONTEXTS, MOST_CONTEXTS = 8, 4096
