@@ -146,11 +146,11 @@ class HashIndex:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        bits = max(4, min(24, int(len(keys)).bit_length() + 1))
+        bits = max(4, min(24, int(len(keys)).bit_length()))
         self.shift = np.uint64(64 - bits)
-        bound = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-        self.start = bound.astype(np.int32 if len(keys) < 2**31 else np.int64)
-        self.longest = int(np.diff(bound).max(initial=0))
+        count = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.zeros(len(count) + 1, dtype=np.int32 if len(keys) < 2**31 else np.int64)
+        np.cumsum(count, out=self.start[1:])
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """Position of each query among the keys, -1 if absent."""

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import _bpe
+from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import pieces, rows_of
 from quillspark.llm._spark import slim, stored, table, text_bytes
 from quillspark.llm.token_counts import PATH, frequent_pieces, shipped
@@ -29,78 +30,72 @@ FRAME_IDS = 1 << 18
 #: A pair becomes a rule if it is replaced at least so often: a rule costs four bytes and its expansion length, each use
 #: saves two.
 LEAST_USES = 4
-#: Pairs of a round, slots of the table that finds them, and sweeps that settle overlaps; what is left waits a round.
-RULES_A_ROUND, _SLOT_BITS, _SWEEPS = 1 << 15, 20, 8
-
 FRAMES = "part int, before long, n_ids long, base int, width int, left binary, right binary, spans binary, symbols binary, doc_ids array<long>, doc_lens array<long>"
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): symbol base + r stands for symbols left[r], right[r], which come before it.
 
-    No pair of symbols is left that has LEAST_USES places which do not overlap each other.
+    No pair of symbols is left that has LEAST_USES places which do not overlap each other. A pair that is not frequent
+    never becomes so, hence a round looks at places that hold a new symbol or were frequent in the round before.
     """
-    seq, rules, n_rules = ids.astype(np.int64), [np.zeros(0, np.int64)], 0
-    while len(seq) >= 2 * LEAST_USES:
-        pair = (seq[:-1] << 32) | seq[1:]
-        apart = np.ones(len(pair), dtype=bool)
-        twin = np.flatnonzero(seq[:-1] == seq[1:])
-        apart[twin] = False
-        apart[every_other(twin)] = True
-        ranked = np.sort(pair[apart])
-        head = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
+    seq, rules, n_rules = ids.astype(np.int32), [np.zeros(0, np.int64)], 0
+    at = np.arange(max(len(seq) - 1, 0), dtype=np.int32)
+    while True:
+        pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        twin = (pair >> 32) == (pair & 0xFFFFFFFF)
+        twins, single = at[twin], ~twin
+        single[twin] = np.isin(twins, every_other(twins), assume_unique=True)
+        at, pair = at[single], pair[single]
+        order = np.argsort(pair)
+        ranked = pair[order]
+        head = np.flatnonzero(np.diff(ranked, prepend=-1))
         count = np.diff(np.append(head, len(ranked)))
         some = np.flatnonzero(count >= LEAST_USES)
         if not len(some):
             break
-        keys = ranked[head[some[np.argsort(-count[some], kind="stable")[:RULES_A_ROUND]]]]
-        at, rule = _places(pair, apart, keys)
-        uses = np.bincount(rule, minlength=len(keys))
-        good = uses >= LEAST_USES
+        some = some[np.argsort(-count[some], kind="stable")]
+        keys, places = ranked[head[some]], at[order[ragged(head[some], count[some])]]
+        # the places of the round after: those that are frequent now, and beside new symbols; and all twins
+        rule = np.full(len(seq), -1, dtype=np.int32)
+        rule[places] = np.repeat(np.arange(len(some), dtype=np.int32), count[some])
+        look = rule >= 0
+        look[twins] = True
+        at = _apart(rule)
+        rule = rule[at]
+        good = np.bincount(rule, minlength=len(keys)) >= LEAST_USES
         good[0] = True  # no place of the most frequent pair was given away
-        number, keep = np.cumsum(good) - 1, good[rule]
+        number, keep = np.cumsum(good, dtype=np.int32) - 1, good[rule]
         at, rule, keys = at[keep], number[rule[keep]], keys[good]
         seq[at] = base + n_rules + rule
+        look[at] = look[np.maximum(at - 1, 0)] = True
         rest = np.ones(len(seq), dtype=bool)
         rest[at + 1] = False
-        seq = seq[rest]
+        # a place whose second symbol goes had a pair that is gone, and one before a new symbol is looked at
+        before = np.flatnonzero(rest)
+        seq, look = seq[before], look[before]
+        at = np.flatnonzero(look[:-1]).astype(np.int32)
         rules.append(keys)
         n_rules += len(keys)
     pairs = np.concatenate(rules)
-    return seq.astype(np.int32), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-
-
-def _slot(pair: np.ndarray) -> np.ndarray:
-    return ((pair * 0x5851F42D4C957F2D) >> (63 - _SLOT_BITS)) & ((1 << _SLOT_BITS) - 1)
-
-
-def _places(pair: np.ndarray, apart: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, index of the pair) of the pairs `keys`, most frequent first, none next to another.
-
-    Of neighbouring places the one of the more frequent pair stays, then the first. A pair whose slot a more frequent
-    one has waits for the next round.
-    """
-    slot = np.full(1 << _SLOT_BITS, -1, np.int32)
-    slot[_slot(keys[::-1])] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
-    rule = slot[_slot(pair)]
-    at = np.flatnonzero((rule >= 0) & apart)
-    at = at[keys[rule[at]] == pair[at]]
-    n, none = len(at), np.iinfo(np.int64).max
-    order = rule[at].astype(np.int64) * n + np.arange(n)
-    near = np.zeros(n + 1, dtype=bool)
-    near[1:-1] = at[1:] == at[:-1] + 1
-    keep, open_ = np.zeros(n, dtype=bool), np.ones(n, dtype=bool)
-    for _ in range(_SWEEPS):
-        own = np.full(n + 2, none)
-        own[1:-1][open_] = order[open_]
-        wins = open_ & (own[1:-1] < np.where(near[:-1], own[:-2], none)) & (own[1:-1] < np.where(near[1:], own[2:], none))
-        if not wins.any():
-            break
-        keep |= wins
-        open_ &= ~wins
-        open_[:-1] &= ~(wins[1:] & near[1:-1])
-        open_[1:] &= ~(wins[:-1] & near[1:-1])
-    return at[keep], rule[at[keep]]
+    return seq, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+
+def _apart(rule: np.ndarray) -> np.ndarray:
+    """Of the places with a rule those of which no two are neighbours: the smaller rule stays, then the first place."""
+    at = np.flatnonzero(rule >= 0)
+    rank, kept = rule[at].astype(np.int64) * len(rule) + at, [np.zeros(0, np.int64)]
+    while len(at):
+        near = at[1:] == at[:-1] + 1
+        wins = np.ones(len(at), dtype=bool)
+        wins[1:] &= ~near | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+        kept.append(at[wins])
+        open_ = ~wins
+        open_[1:] &= ~(near & wins[:-1])
+        open_[:-1] &= ~(near & wins[1:])
+        at, rank = at[open_], rank[open_]
+    return np.sort(np.concatenate(kept))
 
 
 def every_other(at: np.ndarray) -> np.ndarray:
