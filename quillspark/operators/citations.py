@@ -66,14 +66,72 @@ def link_citations(docs: DataFrame, forms: DataFrame, doc: str, text: str) -> Da
     return docs.join(lists, doc, "left").withColumn(text, _link(F.col(text), F.col("__forms"))).drop("__forms")
 
 
+#: Phrases of a broadcast automaton; a larger dictionary costs a pass over the texts for each such block.
+PHRASES = 100_000
+
+
+def _greedy(found: list[tuple[int, int, str]]) -> dict[str, int]:
+    """How often each phrase is taken from left to right, the longest first at each place, none inside another."""
+    out: dict[str, int] = {}
+    past = 0
+    for start, neg, phrase in sorted((s, -n, p) for s, n, p in found):
+        if start >= past:
+            out[phrase] = out.get(phrase, 0) + 1
+            past = start - neg
+    return out
+
+
+def _occurrences(words: list[str]):
+    """A function that gives (start, length, phrase) of all occurrences of some phrases in a text."""
+    made: dict = {}
+
+    def find(text: str) -> list[tuple[int, int, str]]:
+        if "it" not in made:
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for w in words:
+                a.add_word(w, w)
+            a.make_automaton()
+            made["it"] = a
+        return [(end + 1 - len(w), len(w), w) for end, w in made["it"].iter(text)]
+
+    return find
+
+
 def dictionary_hits(docs: DataFrame, phrases: DataFrame, doc: str, text: str, phrase_id: str, phrase: str) -> DataFrame:
-    """(doc, phrase id, n): how often each phrase occurs in a text, for one dictionary for all documents.
+    """(doc, phrase id, n): how often each phrase is found in a text, for one dictionary for all documents.
 
-    The first words of the phrases are the join key, so a text meets only phrases that start with one of its words.
+    A text is read from left to right; at each place the longest phrase is taken, and what it covers is no part of another.
+    Phrases may stand anywhere, inside words too. Ids that share a phrase have the same counts; empty phrases and null texts
+    give nothing. `doc` tells rows apart. The phrases are broadcast as an automaton, in blocks of PHRASES.
     """
-    first = F.substring_index(phrase, " ", 1)
-    p = phrases.select(F.col(phrase_id), F.col(phrase).alias("__p"), first.alias("__w")).where("__p <> ''")
-    w = docs.select(doc, text, F.explode(F.array_distinct(F.split(text, "[ \n]"))).alias("__w"))
-    hit = w.join(p, "__w").where(F.contains(text, "__p"))
-    n = (F.length(text) - F.length(F.replace(F.col(text), F.col("__p"), F.lit("")))) / F.length("__p")
-    return hit.select(doc, phrase_id, n.cast("long").alias("n"))
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[doc]
+    known = phrases.select(F.col(phrase_id), F.col(phrase).alias("__p")).where("__p <> ''")
+    distinct = known.select("__p").distinct()
+    n = max(1, -(-distinct.count() // PHRASES))
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+    parts = None
+    for k in range(n):
+        block = distinct.where(F.pmod(F.xxhash64("__p"), F.lit(n)) == k) if n > 1 else distinct
+        find = spark.sparkContext.broadcast(block.toArrow().column("__p").to_pylist())
+
+        def scan(batches, find=find):
+            look = _occurrences(find.value)
+            for pdf in batches:
+                rows = []
+                for d, t in zip(pdf["doc"], pdf["text"], strict=True):
+                    hits = look(t) if find.value else []
+                    rows += [(d, w, None, c) for w, c in _greedy(hits).items()] if n == 1 else [(d, w, s, 0) for s, _, w in hits]
+                yield pd.DataFrame(rows, columns=["doc", "__p", "at", "n"]).astype({"at": "Int64", "n": "int64"})
+
+        found = texts.mapInPandas(scan, f"doc {kind}, `__p` string, at long, n long")
+        parts = found if parts is None else parts.unionByName(found)
+    if n > 1:
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            taken = _greedy([(int(s), len(w), w) for s, w in zip(pdf["at"], pdf["__p"], strict=True)])
+            return pd.DataFrame([(pdf["doc"].iloc[0], w, c) for w, c in taken.items()], columns=["doc", "__p", "n"])
+
+        parts = parts.groupBy("doc").applyInPandas(merge, f"doc {kind}, `__p` string, n long")
+    return parts.join(known, "__p").select(F.col("doc").alias(doc), phrase_id, "n")

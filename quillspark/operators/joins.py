@@ -46,9 +46,12 @@ def merge_maps(a: Column, b: Column) -> Column:
 
 def cascade(keys: DataFrame, on: str, first: DataFrame, second: DataFrame) -> DataFrame:
     """Values of the first source, and of the second one for keys that the first lacks; keys of neither get NULL."""
-    hit = keys.join(first, on)
-    miss = keys.join(first, on, "left_anti")
-    return hit.unionByName(miss.join(second, on, "left"))
+    names = [c for c in first.columns if c != on]
+    one = first.select(F.col(on).alias("__k1"), F.struct(*names).alias("__v1"))
+    two = second.select(F.col(on).alias("__k2"), F.struct(*names).alias("__v2"))
+    both = keys.join(one, keys[on] == F.col("__k1"), "left").join(two, (keys[on] == F.col("__k2")) & F.col("__k1").isNull(), "left")
+    value = lambda c: F.when(F.col("__k1").isNotNull(), F.col("__v1")[c]).otherwise(F.col("__v2")[c]).alias(c)
+    return both.select(*[keys[c] for c in keys.columns], *[value(c) for c in names])
 
 
 def dangling(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

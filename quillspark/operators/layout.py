@@ -155,10 +155,11 @@ def resolved_footnotes(references: DataFrame, bodies: DataFrame) -> DataFrame:
     return references.join(last, ["doc", "page", "marker"], "left")
 
 
-def document_lines_furniture(lines: DataFrame, key: Column, page: str, least: int = FURNITURE_PAGES) -> DataFrame:
-    """Text keys that `least` or more pages hold, with the number of pages. Counts have partial sums, so a line that
-    every page holds costs one row a task."""
-    keyed = lines.select(F.col(page), key.alias("key")).where("key <> ''").distinct()
-    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
+def document_lines_furniture(pages: DataFrame, keys: Column, least: int = FURNITURE_PAGES) -> DataFrame:
+    """Text keys that `least` or more pages hold, with the number of pages; a page is one row with the array of its keys.
 
+    A page's keys are made distinct before they are rows, and counts have partial sums, so a line that every page holds
+    costs one row a task.
+    """
+    keyed = pages.select(F.explode(F.array_distinct(keys)).alias("key")).where("key <> ''")
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -58,8 +58,16 @@ def running_number(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", sections.running_number(["conv_id"], "turn", F.col("role") == "assistant").alias("n"))
 
 
+def unique_slug_trap(spark, sf_dir):
+    """Headings whose slugs equal made ones: a document a supplier, with up to seven of them."""
+    slugs = ["a", "a-2", "a", "", "a-2", "a", "a-3"]
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), F.explode(F.sequence(F.lit(1), (F.col("s_suppkey") % 7 + 1).cast("int"))).alias("n"))
+    return sections.unique_slugs(s.select("doc", "n", F.element_at(F.array(*map(F.lit, slugs)), F.col("n")).alias("slug")), ["doc"], "n", "slug")
+
+
 def furniture_lines(spark, sf_dir):
-    return layout.document_lines_furniture(_lines(spark, sf_dir), furniture_key(F.col("line")), "doc_id")
+    keys = F.transform(F.split("text", "\n"), furniture_key)
+    return layout.document_lines_furniture(table(spark, sf_dir, "documents"), keys)
 
 
 def weighted_mode(spark, sf_dir):
@@ -68,16 +76,17 @@ def weighted_mode(spark, sf_dir):
 
 
 def dehyphenated(spark, sf_dir):
-    """Documents as paragraphs, with every comma at a line's end made a hyphen to join at."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\.$", "-"))
-    return d.select("doc_id", F.sha2(dehyphenate(lines), 256).alias("paragraph"))
+    """Documents in lower case as paragraphs, with every full stop at a line's end made a hyphen to join at."""
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: F.regexp_replace(x, "[.]$", "-"))
+    return table(spark, sf_dir, "documents").select("doc_id", dehyphenate(lines).alias("paragraph"))
 
 
 def dictionary_hits(spark, sf_dir):
-    """First six words of each benchmark item as a dictionary over all documents."""
-    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", " ", 6).alias("phrase"))
-    return citations.dictionary_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), phrases, "doc_id", "text", "item_id", "phrase")
+    """Benchmark items, and their first three words, as a dictionary over all documents: an item's text wins over its
+    beginning."""
+    b = table(spark, sf_dir, "benchmark")
+    phrases = b.select((F.col("item_id") * 2).alias("phrase_id"), F.col("text").alias("phrase")).unionByName(b.select((F.col("item_id") * 2 + 1).alias("phrase_id"), F.substring_index("text", " ", 3).alias("phrase")))
+    return citations.dictionary_hits(table(spark, sf_dir, "documents"), phrases, "doc_id", "text", "phrase_id", "phrase")
 
 
 def quality_gate(spark, sf_dir):
@@ -94,7 +103,14 @@ def peak_union(spark, sf_dir):
     return days.select("user_id", F.array_join("d", ",").alias("days"))
 
 
-QUERIES = {f.__name__: f for f in (unique_slug, unique_slug_fold, sections_fold, section_members, start_gate, reference_gate, running_number, furniture_lines, weighted_mode, dehyphenated, dictionary_hits, quality_gate, peak_union)}
+def series_peak(spark, sf_dir):
+    """For each user, the days of two series together and the greatest value of either, one at least."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("ym"))
+    n = e.groupBy("user_id", "ym").agg(F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "purchase").alias("b"))
+    return n.where("a + b > 0").groupBy("user_id").agg(F.count("*").alias("days"), F.greatest(F.max("a"), F.max("b"), F.lit(1)).alias("peak"))
+
+
+QUERIES = {f.__name__: f for f in (unique_slug, unique_slug_fold, unique_slug_trap, sections_fold, section_members, start_gate, reference_gate, running_number, furniture_lines, weighted_mode, dehyphenated, dictionary_hits, quality_gate, peak_union, series_peak)}
 _SLUG = """WITH p AS (SELECT p_partkey, p_brand, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, slug ORDER BY p_partkey) AS n FROM p)
 SELECT p_partkey, p_brand, slug, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS unique_slug FROM n"""
 _SEC = "SELECT *, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations"
@@ -112,9 +128,17 @@ k AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(lower(trim(regexp_re
 SELECT key, count(*) AS n FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 3""",
     "weighted_mode": """WITH s AS (SELECT source, lang, sum(n_chars)::BIGINT AS w, min(doc_id) AS f FROM documents GROUP BY ALL)
 SELECT source, lang AS mode, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, f) AS k FROM s) WHERE k = 1""",
-    "dictionary_hits": """WITH p AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS p FROM benchmark)
-SELECT doc_id, item_id, ((length(text) - length(replace(text, p, ''))) // length(p))::BIGINT AS n FROM documents JOIN p ON contains(text, p) WHERE list_contains(string_split_regex(text, '[ \\n]'), split_part(p, ' ', 1))""",
+    "unique_slug_trap": """SELECT doc, n::INTEGER AS n, ['a', 'a-2', 'a', '', 'a-2', 'a', 'a-3'][n] AS slug, ['a', 'a-2', 'a-3', 'section-3', 'a-2-2', 'a-4', 'a-3-2'][n] AS unique_slug FROM (SELECT s_suppkey AS doc, unnest(range(1, s_suppkey % 7 + 2)) AS n FROM supplier)""",
+    "dehyphenated": """WITH l AS (SELECT doc_id, array_to_string([trim(regexp_replace(x, '[.]$', '-')) for x in string_split(lower(text), chr(10)) if trim(x) <> ''], chr(10)) AS t FROM documents),
+j AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g'), '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g'), '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g') AS t FROM l)
+SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS paragraph FROM j""",
+    "dictionary_hits": """WITH p AS (SELECT item_id * 2 AS phrase_id, text AS phrase FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:3], ' ') FROM benchmark),
+a AS (SELECT string_agg(regexp_escape(phrase), '|' ORDER BY length(phrase) DESC) AS pattern FROM (SELECT DISTINCT phrase FROM p)),
+h AS (SELECT doc_id, unnest(regexp_extract_all(text, (SELECT pattern FROM a))) AS phrase FROM documents)
+SELECT doc_id, phrase_id, count(*) AS n FROM h JOIN p USING (phrase) GROUP BY doc_id, phrase_id""",
     "quality_gate": """SELECT 'documents' AS t, count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (text IS NULL OR length(text) < 50) AS short, count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'de', 'fr', 'es')) AS lang, count(*) AS rows FROM documents
 UNION ALL SELECT 'orders', count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus = ''), count(*) FILTER (o_totalprice IS NULL OR o_totalprice < 1000), count(*) FILTER (o_custkey IS NULL), count(*) FROM orders""",
+    "series_peak": """WITH n AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS d, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'purchase') AS b FROM events GROUP BY ALL)
+SELECT user_id, count(*) AS days, greatest(max(a), max(b), 1)::BIGINT AS peak FROM n WHERE a + b > 0 GROUP BY user_id""",
     "peak_union": "SELECT user_id, string_agg(d, ',' ORDER BY d) AS days FROM (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_type IN ('view', 'error')) GROUP BY user_id",
 }

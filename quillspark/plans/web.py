@@ -26,6 +26,14 @@ def url_path(spark, sf_dir):
     return p.select("page_id", F.regexp_replace(F.substring_index(F.substring_index(rest, "#", 1), "?", 1), "^/+|/+$", "").alias("path"), ids.journal_path(F.col("url"), BASES).alias("journal_path"))
 
 
+def url_routes(spark, sf_dir):
+    """Every rule of the router, and addresses that none takes: the page number says which."""
+    forms = ["article/view/{}", "article/view/{}/9/x", "issue/view/{}", "issue/view/{}/x", "issue/archive", "issues", "issue/current", "announcement/view/{}", "announcement", "index", "home", "", "about/team", "{}", "article/view"]
+    p = _pages(spark, sf_dir).select("page_id", F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % len(forms) + 1).cast("int")), F.lit("{}"), F.col("page_id").cast("string")).alias("path"))
+    base = F.element_at(F.array(*map(F.lit, ["https://j.example", "https://old.example/j", "https://j.example.org"])), (F.floor(F.col("page_id") / len(forms)) % 3 + 1).cast("int"))
+    return p.select("page_id", ids.rewrite_url(F.concat(base, F.lit("/"), "path", F.lit("/?x=1#y")), ["https://j.example", "https://old.example/j"], ["about/team"]).alias("route"))
+
+
 def url_route(spark, sf_dir):
     """Page URLs rewritten as routes of a journal: the language segment stands for the kind of page."""
     p = _pages(spark, sf_dir).select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+/(en|fr)/", "https://j.example/article/view/"), "^https?://[^/]+/(de|es)/", "https://j.example/issue/view/").alias("u"))
@@ -33,9 +41,13 @@ def url_route(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    """Every link of a page, resolved against its URL, and whether it leaves the host."""
-    links = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(text.hrefs(F.col("html"))).alias("pos", "href"))
-    full = F.when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "href")).otherwise(F.col("href"))
+    """Every link of a page, resolved against its URL, and whether it leaves the host. By its place a link is left as it is,
+    led to another host, made a fragment, a mail address or blank, or spelt with its own host."""
+    links = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(text.hrefs(F.col("html"))).alias("pos", "h"))
+    own = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    href = F.element_at(F.array("h", F.concat(F.lit("https://other.example"), "h"), F.concat(F.lit("#"), "h"), F.concat(F.lit("MAILTO:a@b?"), "h"), F.lit(" "), F.concat(own, "h")), (F.col("pos") % 6 + 1).cast("int"))
+    links = links.withColumn("href", href)
+    full = F.when(F.col("href").startswith("/"), F.concat(own, "href")).otherwise(F.col("href"))
     return links.select("page_id", "pos", "href", full.alias("target"), ids.is_external(full, _host(F.col("url"))).alias("external"))
 
 
@@ -63,9 +75,9 @@ def slug_initials_hue(spark, sf_dir):
 
 
 def slug_lines(spark, sf_dir):
-    """Slugs of the first lines of documents with accents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    return d.select("doc_id", text.slug_team(F.col("line")).alias("slug"))
+    """Slugs of every line of documents with accents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return d.select("doc_id", "pos", text.slug_team(F.col("line")).alias("slug"))
 
 
 def sha_name(spark, sf_dir):
@@ -123,28 +135,32 @@ _BASE = "regexp_extract(url, '^(https?://[^/]+)', 1)"
 _TRIMMED = "trim(split_part(split_part({}, '#', 1), '?', 1), '/')"
 _CUT = "CASE WHEN length(t) > {n} THEN regexp_replace(substr(t, 1, {n}), ' [^ ]*$', '') || '…' ELSE t END AS excerpt"
 
-QUERIES = {f.__name__: f for f in (url_path, url_route, page_links, page_text, page_excerpt, doc_excerpt, page_regions, slug_initials_hue, slug_lines, sha_name, doi_forms, path_forms, sheet_dates, person_split, bionic, citation_links, jats, json_props)}
+QUERIES = {f.__name__: f for f in (url_path, url_route, url_routes, page_links, page_text, page_excerpt, doc_excerpt, page_regions, slug_initials_hue, slug_lines, sha_name, doi_forms, path_forms, sheet_dates, person_split, bionic, citation_links, jats, json_props)}
 SQL = {
     "url_path": f"SELECT page_id, {_TRIMMED.format(f'substr(url, length({_BASE}) + 1)')} AS path, CASE " + " ".join(f"WHEN url = '{b}' OR starts_with(url, '{b}/') THEN {_TRIMMED.format(f'substr(url, {len(b) + 1})')}" for b in BASES) + " END AS journal_path FROM pages",
     "url_route": """WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+/(en|fr)/', 'https://j.example/article/view/'), '^https?://[^/]+/(de|es)/', 'https://j.example/issue/view/') AS u FROM pages),
 p AS (SELECT page_id, u, CASE WHEN starts_with(u, 'https://j.example/') THEN trim(split_part(split_part(substr(u, 18), '#', 1), '?', 1), '/') END AS p FROM u)
 SELECT page_id, CASE WHEN p IS NULL THEN u WHEN regexp_matches(p, '^article/view/[^/]+(/.*)?$') THEN '__BASE__articles/' || split_part(p, '/', 3) || '/' WHEN regexp_matches(p, '^issue/view/[^/]+$') THEN '__BASE__issues/' || split_part(p, '/', 3) || '/' ELSE u END AS route FROM p""",
-    "page_links": f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages), x AS (SELECT page_id, url, unnest(h) AS href, unnest(range(0, len(h))) AS pos FROM l)
-SELECT page_id, pos::INTEGER AS pos, href, CASE WHEN starts_with(href, '/') THEN {_BASE} || href ELSE href END AS target, false AS external FROM x""",
+    "page_links": f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages), x AS (SELECT page_id, {_BASE} AS own, unnest(h) AS h, unnest(range(0, len(h))) AS pos FROM l),
+y AS (SELECT *, [h, 'https://other.example' || h, '#' || h, 'MAILTO:a@b?' || h, ' ', own || h][pos % 6 + 1] AS href FROM x)
+SELECT page_id, pos::INTEGER AS pos, href, CASE WHEN starts_with(href, '/') THEN own || href ELSE href END AS target, pos % 6 = 1 AS external FROM y""",
+    "url_routes": """WITH p AS (SELECT page_id, page_id % 15 AS k, page_id // 15 % 3 AS b FROM pages)
+SELECT page_id, CASE WHEN b = 2 OR k IN (3, 13, 14) THEN ['https://j.example', 'https://old.example/j', 'https://j.example.org'][b + 1] || '/' || replace(['article/view/{}', 'article/view/{}/9/x', 'issue/view/{}', 'issue/view/{}/x', 'issue/archive', 'issues', 'issue/current', 'announcement/view/{}', 'announcement', 'index', 'home', '', 'about/team', '{}', 'article/view'][k + 1], '{}', page_id::VARCHAR) || '/?x=1#y'
+ELSE '__BASE__' || CASE WHEN k <= 1 THEN 'articles/' || page_id || '/' WHEN k = 2 THEN 'issues/' || page_id || '/' WHEN k <= 6 THEN 'issues/' WHEN k = 7 THEN 'announcements/' || page_id || '/' WHEN k = 8 THEN 'announcements/' WHEN k <= 11 THEN '' ELSE 'about/team/' END END AS route FROM p""",
     "page_text": "SELECT page_id, regexp_replace(" + _FLAT(_UN("regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g')")) + ", '\\s+([,.;:])', '\\1', 'g') AS text FROM pages",
     "page_excerpt": "WITH t AS (SELECT page_id, " + _FLAT(_UN("regexp_replace(html, '<[^>]+>', ' ', 'g')")) + f" AS t FROM pages) SELECT page_id, {_CUT.format(n=240)} FROM t",
     "doc_excerpt": "WITH t AS (SELECT doc_id, " + _FLAT("regexp_replace(text, '<[^>]+>', ' ', 'g')") + f" AS t FROM documents) SELECT doc_id, {_CUT.format(n=180)} FROM t",
     "page_regions": f"WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages) SELECT page_id, {_ESC('title')} AS escaped, replace(json_object('title', title)::VARCHAR, '</', '<\\/') AS json FROM p",
     "slug_initials_hue": """WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS w, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part)
 SELECT p_partkey, slug, upper(CASE WHEN len(w) > 1 THEN w[1][1] || w[-1][1] ELSE substr(w[1], 1, 2) END) AS initials, (list_sum([ascii(c) for c in string_split(slug, '')]) % 5)::INTEGER AS hue FROM s""",
-    "slug_lines": """WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS x FROM documents),
-g AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS x FROM l)
-SELECT doc_id, trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM g""",
+    "slug_lines": """WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS pos, unnest(string_split(text, chr(10))) AS x FROM documents),
+g AS (SELECT doc_id, pos, replace(replace(replace(replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS x FROM l)
+SELECT doc_id, pos, trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM g""",
     "sha_name": "SELECT page_id, substr(sha1(url), 1, 8) || '-' || regexp_replace(string_split(split_part(split_part(url, '#', 1), '?', 1), '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",
     "doi_forms": """WITH p AS (SELECT p_partkey, ['https://doi.org/10.1234/AB', ' HTTPS://DX.DOI.ORG/10.55555/x', '10.1234/', 'www.zenodo.org/', '-', '10.12/'][p_partkey % 6 + 1] || CASE WHEN p_partkey % 6 = 4 THEN '' ELSE p_partkey::VARCHAR END AS v FROM part),
 b AS (SELECT p_partkey, trim(v) AS v, lower(regexp_replace(trim(v), '(?i)^https?://(dx\\.)?doi\\.org/', '')) AS bare FROM p)
 SELECT p_partkey, bare, regexp_replace(v, '^https?://(dx\\.)?doi\\.org/', '') AS preprint, CASE WHEN regexp_matches(v, '(?i)^https?://') THEN v WHEN regexp_matches(v, '^10\\.\\d{4,}/\\S+$') THEN 'https://doi.org/' || v
-WHEN regexp_matches(v, '(?i)^[a-z0-9-]+(\\.[a-z0-9-]+)+(/\\S*)?$') THEN 'https://' || v ELSE '' END AS url, 'https://prereview.org/preprints/doi-' || replace(bare, '/', '-') AS prereview FROM b""",
+WHEN regexp_matches(v, '(?i)^[a-z0-9-]+(\\.[a-z0-9-]+)+(/\\S*)?$') THEN 'https://' || v ELSE '' END AS url, 'https://prereview.org/preprints/doi-' || replace(bare, '/', '-') || '/write-a-prereview' AS prereview FROM b""",
     "path_forms": """WITH n AS (SELECT n_nationkey, '/r2/' || n_name || '/' AS p, n_name FROM nation)
 SELECT n_nationkey, '/r2/' || n_name || '/' AS base, 'articles/r2/' || n_name AS page, '/' || n_name || '/' AS served, 'viewer.html?file=' || url_encode(p) AS viewer, p || 'issues/' AS rebased FROM n""",
     "sheet_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS ym, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END::INTEGER AS year FROM orders""",

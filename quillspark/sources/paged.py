@@ -3,10 +3,15 @@
     spark.dataSource.register(PagedSource)
     spark.read.format("paged").option("url", ...).option("kind", "offset").load()
 
-kind `offset`: one partition per page, enumerated from the item count of the first page. kind `month`: one partition per
-calendar month of [start, stop). A page that fails after its retries is an empty partition and does not end the run;
-401 and 403 are final, after one 403 the token goes into the query. kind `single`: one URL, a list or {"items": []}.
-Rows are (part, ord, value): the JSON text of each item.
+kind `offset`: one request per page, enumerated from the item count of the first page; where that cannot be had, the scan
+fails. kind `month`: one request per calendar month of [start, stop). kind `grid`: one request per entity and metric, whose
+names (options `entities` and `metrics`, split at commas) take the places {entity} and {metric} of the URL; with start and
+stop, one per month of each. kind `single`: one URL, a list or {"items": []}.
+
+Rows are (part, ord, value, error): the JSON text of each item. A page that fails after its retries, or whose body is no
+list, does not end the run: it is one row with its error and no value. 401 and 403 are final, after one 403 the token goes
+into the query. Requests are `spacing` seconds apart over the whole scan: one task reads all pages, or `tasks` of them
+wait `tasks` times as long.
 """
 
 from __future__ import annotations
@@ -61,44 +66,65 @@ def months(start: str, stop: str) -> list[tuple[str, str]]:
 
 def listed(body: bytes | None) -> list:
     """Items of a list or of an object with `items`; nothing for what is neither."""
+    return _items(body) or []
+
+
+def _items(body: bytes | None) -> list | None:
     try:
-        value = json.loads(body or b"[]")
+        value = json.loads(body or b"")
     except ValueError:
-        return []
+        return None
     value = value.get("items", []) if isinstance(value, dict) else value
-    return value if isinstance(value, list) else []
+    return value if isinstance(value, list) else None
 
 
 class Part(InputPartition):
-    def __init__(self, name: str, url: str):
-        self.name, self.url = name, url
+    """(name, url) of the pages that one task reads, one after another."""
+
+    def __init__(self, pages: list[tuple[str, str]]):
+        self.pages = pages
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.o = dict(options)
+        self.tasks = int(self.o.get("tasks", "1"))
 
-    def _with(self, **query) -> str:
-        url = self.o["url"]
+    def _with(self, url: str, **query) -> str:
         return url + ("&" if "?" in url else "?") + urllib.parse.urlencode(query)
 
-    def partitions(self) -> list[Part]:
-        kind, size = self.o.get("kind", "single"), int(self.o.get("count", "100"))
+    def pages(self) -> list[tuple[str, str]]:
+        kind, size, url = self.o.get("kind", "single"), int(self.o.get("count", "100")), self.o["url"]
+        ranges = months(self.o["start"], self.o["stop"]) if "start" in self.o else []
         if kind == "month":
-            return [Part(a[:7], self._with(start=a, end=b)) for a, b in months(self.o["start"], self.o["stop"])]
+            return [(a[:7], self._with(url, start=a, end=b)) for a, b in ranges]
+        if kind == "grid":
+            names = lambda option: [x.strip() for x in self.o.get(option, "").split(",") if x.strip()]
+            grid = [(f"{e}|{m}", url.replace("{entity}", urllib.parse.quote(e, "")).replace("{metric}", urllib.parse.quote(m, ""))) for e in names("entities") for m in names("metrics")]
+            return [(f"{name}|{a[:7]}", self._with(to, start=a, end=b)) for name, to in grid for a, b in ranges] if ranges else grid
         if kind == "offset":
-            body = fetch(self._with(count=size, offset=0), self.o.get("token", ""))
+            body = fetch(self._with(url, count=size, offset=0), self.o.get("token", ""))
             try:
-                most = int(json.loads(body or b"{}").get("itemsMax", 0))
-            except (ValueError, AttributeError):
-                most = 0
-            return [Part(str(i), self._with(count=size, offset=i)) for i in range(0, max(most, 1), size)]
-        return [Part("0", self.o["url"])]
+                most = int(json.loads(body or b"")["itemsMax"])
+            except (ValueError, KeyError, TypeError) as e:
+                raise OSError(f"no item count from the first page of {url}") from e
+            return [(str(i), self._with(url, count=size, offset=i)) for i in range(0, max(most, 1), size)]
+        return [("0", url)]
+
+    def partitions(self) -> list[Part]:
+        pages = self.pages()
+        return [Part(pages[i :: self.tasks]) for i in range(min(self.tasks, len(pages)))] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        time.sleep(float(self.o.get("spacing", SPACING)))
-        for i, item in enumerate(listed(fetch(partition.url, self.o.get("token", "")))):
-            yield partition.name, i, json.dumps(item, sort_keys=True, ensure_ascii=False)
+        for k, (name, url) in enumerate(partition.pages):
+            if k:
+                time.sleep(float(self.o.get("spacing", SPACING)) * self.tasks)
+            items = _items(fetch(url, self.o.get("token", "")))
+            if items is None:
+                yield name, 0, None, f"no list from {url}"
+                continue
+            for i, item in enumerate(items):
+                yield name, i, json.dumps(item, sort_keys=True, ensure_ascii=False), None
 
 
 class PagedSource(DataSource):
@@ -107,7 +133,7 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "part string, ord int, value string"
+        return "part string, ord int, value string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements without an end tag
+# How the identifier of a serial is written, and elements without an end tag
+ISSN = r"ISSN:\s*([\d-]+X?)"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -48,25 +49,26 @@ def select(node: Node, path: str) -> list[Node]:
     for way in path.split("|"):
         found = [node]
         for step in way.split():
-            tag, _, cls = step.partition(".")
-            found = [n for f in found for n in f.find_all(*([tag] if tag else []), cls=cls)]
+            tag, *classes = step.split(".")
+            found = [n for f in found for n in f.find_all(*([tag] if tag else []), cls=(classes or [""])[0]) if set(classes) <= set(n.attrs.get("class", "").split())]
         if found:
             return list({id(n): n for n in found}.values())
     return []
 
 
+def outer(node: Node) -> str:
+    """HTML of a node itself."""
+    attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node.attrs.items())
+    return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else f"{_held(node)}</{node.tag}>")
+
+
+def _held(node: Node) -> str:
+    return "".join(html.escape(c, quote=False) if isinstance(c, str) else outer(c) for c in node.children)
+
+
 def inner(node: Node | None) -> str:
-    """HTML of what a node holds."""
-    if node is None:
-        return ""
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(html.escape(c, quote=False))
-        else:
-            attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in c.attrs.items())
-            out.append(f"<{c.tag}{attrs}>" + ("" if c.tag in VOID else f"{inner(c)}</{c.tag}>"))
-    return "".join(out).strip()
+    """HTML of what a node holds, without white space at its ends."""
+    return _held(node).strip() if node is not None else ""
 
 
 class _Tree(HTMLParser):
@@ -103,7 +105,7 @@ def page_record(text: str | None) -> dict:
     root = tree(text)
     title, h1 = root.find("title"), root.find("h1")
     meta = {n.attrs.get("name", "").lower(): n.attrs.get("content", "") for n in root.find_all("meta")}
-    issn = re.search(r"ISSN:\s*([\d-]+X?)", root.text())
+    issn = re.search(ISSN, root.text())
     return {
         "title": (h1 or title).text() if h1 or title else "", "description": meta.get("description", ""), "issn": issn[1] if issn else "",
         "text": root.text(), "headings": [h.text() for h in root.find_all("h1", "h2", "h3")], "links": [a.attrs["href"] for a in root.find_all("a") if a.attrs.get("href")],
@@ -113,22 +115,25 @@ def page_record(text: str | None) -> dict:
 PAGE = "title STRING, description STRING, issn STRING, text STRING, headings ARRAY<STRING>, links ARRAY<STRING>"
 
 
-def scraped(pages: DataFrame, key: str, page: str, project=page_record, fields: str = PAGE) -> DataFrame:
-    """key, the projection's fields, and `error`: a page that cannot be read gives a row with the error, not a failure."""
-    names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", fields).split(", ")]
+def scraped(pages: DataFrame, key: str, page: str, project=page_record, fields: str = PAGE, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, the projection's fields, and `error`: a page that cannot be read gives a row with the error, not a failure.
+
+    project takes the page and the values of the columns `also`, such as its address.
+    """
+    names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", fields))).split(", ")]
     kind = dict(pages.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for k, h in zip(pdf[key], pdf[page], strict=True):
+            for k, h, *more in zip(pdf[key], pdf[page], *(pdf[c] for c in also), strict=True):
                 try:
-                    rows.append({key: k, **project(h), "error": None})
+                    rows.append({key: k, **project(h, *more), "error": None})
                 except Exception as e:  # noqa: BLE001  isolation of one item
                     rows.append({key: k, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [key, *names, "error"]})
 
-    return pages.select(key, page).mapInPandas(run, f"{key} {kind}, {fields}, error STRING")
+    return pages.select(*dict.fromkeys([key, page, *also])).mapInPandas(run, f"{key} {kind}, {fields}, error STRING")
 
 
 def team_rows(text: str | None) -> list[tuple]:

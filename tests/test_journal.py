@@ -19,30 +19,76 @@ ARTICLE = """<article class="obj_article_details"><h1 class="page_title">T &amp;
 <div class="item galleys"><a class="obj_galley_link pdf" href="https://x/j/article/view/a1/9">PDF</a><a class="obj_galley_link" href="https://x/j/article/view/a1">bad</a></div></article>"""
 
 
+SITE = J.Site("https://x/j", bases=("https://x/j-old",), known=frozenset({"about"}))
+
+
 def test_issues():
-    (issue,) = J.issue_summaries(ARCHIVE)
-    assert issue == {"id": "7", "title": "Vol 1", "series": "S", "description": "<p>D</p>", "cover": ""}
-    whole = J.with_toc(issue, TOC)
-    assert whole["description"] == "<p>D</p>" and whole["datePublished"] == "2025-01-02" and whole["sections"] == [{"title": "Full", "articles": ["a1"]}]
-    assert J.with_toc(issue, "<p>broken</p>")["sections"] == []
-    assert J.with_toc({**issue, "description": ""}, TOC)["description"] == "late"
+    (issue,) = SITE.issue_summaries(ARCHIVE + '<div class="obj_issue_summary"><a class="title" href="https://other/j/issue/view/8">Foreign</a></div>')["issues"]
+    assert issue == {"id": "7", "title": "Vol 1", "series": "S", "descriptionHtml": "<p>D</p>", "cover": "", "ojsUrl": "https://x/j/issue/view/7"}
+    whole = SITE.with_toc(issue, TOC)
+    assert whole["descriptionHtml"] == "<p>D</p>" and whole["datePublished"] == "2025-01-02" and whole["sections"] == [{"title": "Full", "articles": ["a1"]}]
+    assert SITE.with_toc(issue, "<p>broken</p>")["sections"] == []
+    assert SITE.with_toc({**issue, "descriptionHtml": ""}, TOC)["descriptionHtml"] == "late"
 
 
 def test_article(spark):
     df = spark.createDataFrame([("a1", ARTICLE), ("a2", "<p>nothing</p>")], "urlPath string, html string")
-    out = {r["urlPath"]: r for r in pages.scraped(df, "urlPath", "html", J.article_record, J.ARTICLE).collect()}
+    out = {r["urlPath"]: r for r in pages.scraped(df, "urlPath", "html", SITE.article_record, J.ARTICLE, ("urlPath",)).collect()}
     a = out["a1"]
     assert (a["title"], a["subtitle"], a["doi"], a["submissionId"], a["section"]) == ("T & U", "Sub", "10.1/a", "55", "Notes")
     assert [(x["name"], x["affiliation"], x["orcid"]) for x in a["authors"]] == [("Ann", "X", "https://orcid.org/1"), ("Bob", "", "")]
     assert list(a["keywords"]) == ["one", "two", "three"] and a["abstractHtml"] == "<p>Text</p>" and list(a["categories"]) == ["C1"]
-    assert [(g["label"], g["isPdf"], g["path"]) for g in a["galleys"]] == [("PDF", True, "a1/9")]
+    assert [tuple(g) for g in a["galleys"]] == [("PDF", True, "https://x/j/article/view/a1/9", "https://x/j/article/download/a1/9", "a1-9.pdf")]
+    assert a["ojsUrl"] == "https://x/j/article/view/a1" and a["bibtexUrl"].endswith("submissionId=55&x=1") and a["risUrl"] == ""
     assert out["a2"]["error"] == "Missing: no article" and out["a2"]["title"] is None
 
 
-def test_announcement_keeps_an_empty_body():
-    assert J.announcement_record('<div class="obj_announcement_full"><h1>H</h1><span class="date">d</span></div>') == {"title": "H", "date": "d", "html": ""}
+def test_the_last_citation_link_names_the_submission():
+    link = '<a href="https://x/citationstylelanguage/download/{}?submissionId={}">c</a>'
+    got = SITE.article_record('<article class="obj_article_details">' + link.format("ris", 2) + link.format("bibtex", 1) + "</article>")
+    assert got["submissionId"] == "2" and got["risUrl"].endswith("=2")
+
+
+def test_announcements():
+    got = SITE.announcement_record('<div class="obj_announcement_full"><span class="date">d</span></div>', "3", "From the list")
+    assert got == {"title": "From the list", "date": "d", "html": "", "ojsUrl": "https://x/j/announcement/view/3"}
+    with pytest.raises(J.Missing):
+        SITE.announcement_record("<p/>")
+    one = '<div class="obj_announcement_summary"><a href="{}">T</a></div>'
+    listed = "".join(one.format(h) for h in ("https://x/j/announcement/view/5", "https://x/j/announcement/view/x", "https://y/announcement/view/6")) + '<div class="obj_announcement_summary">none</div>'
+    assert SITE.announcement_list(listed) == {"items": [{"id": "5", "title": "T"}]}
+
+
+def test_page_and_journal():
+    page = '<div class="pkp_structure_main"><div class="page"><nav class="cmp_breadcrumbs">c</nav><h1>T</h1><main><a href="/j/about">x</a></main><h1>second</h1></div></div>'
+    assert SITE.page_record(page, "p") == {"title": "T", "html": '<div><a href="__BASE__about/">x</a></div><h1>second</h1>', "sourceUrl": "https://x/j/p"}
     with pytest.raises(J.Missing):
-        J.announcement_record("<p/>")
+        SITE.page_record("<p>x</p>", "p")
+    home = """<head><meta property="og:title" content="N"><meta name="description" content=" d "><link rel="icon" href="/f.ico"></head><div class="pkp_site_name"><img src="l.png"></div><ul id="navigationPrimary"><li><a href="https://x/j/team">Team</a>
+    <a href="https://other/">O</a><a href="https://x/j/login">Login</a><a href="https://x/j/empty"></a></li></ul><div class="pkp_structure_sidebar"><div class="pkp_block block_custom" id="b1"><h2 class="pkp_screen_reader">S</h2><div class="content"><a href="https://x/j/team">t</a></div></div>
+    <div class="pkp_block block_custom" id="b2"><h2>No content</h2></div><div class="pkp_block"><div class="content">not custom</div></div></div><div class="additional_content"><p>H</p></div><div class="pkp_footer_content">ISSN: 1234-567X</div>"""
+    j = SITE.journal_record(home)
+    assert (j["name"], j["description"], j["keywords"], j["issn"]) == ("N", "d", "", "1234-567X")
+    assert j["nav"] == [{"label": "Team", "path": "team"}, {"label": "Login", "path": "login"}] and j["homepageHtml"] == "<p>H</p>" and j["footerHtml"] == "ISSN: 1234-567X"
+    assert j["sidebarBlocks"] == [{"id": "b1", "title": "S", "titleHidden": True, "html": '<a href="__BASE__team/">t</a>'}]
+    assert j["logo"].startswith("__BASE__assets/img/") and j["logo"].endswith("-l.png") and j["favicon"].endswith("-f.ico")
+    assert J.mirrored_paths(["team", "login", "issue/x", "team"]) == ["team", "legal-disclosure"]
+
+
+def test_site_routes():
+    to = {"": "__BASE__", "article/view/a/9": "__BASE__articles/a/", "issue/view/1": "__BASE__issues/1/", "issue/view/1/2": None, "issue/current": "__BASE__issues/", "announcement/view/2": "__BASE__announcements/2/", "announcement": "__BASE__announcements/", "about?x#y": "__BASE__about/", "else": None}
+    for path, want in to.items():
+        for base in ("https://x/j", "https://x/j-old"):
+            assert SITE.route(f"{base}/{path}") == (want or f"{base}/{path}")
+    assert SITE.route("https://x/journal") == "https://x/journal"
+    assert SITE.image("data:x", "") == "data:x" and J.Site("https://x", images={"https://x/a.png": "https://x/a.png"}).image("/a.png", "https://x/p") == "https://x/a.png"
+
+
+def test_team():
+    page = "<p>before</p><ul><li>nobody</li></ul><p><strong>A</strong></p><ul><li>Ann (X): r</li><li>Bob</li></ul><p>note <b>x</b></p><p> <strong>B</strong><br/>We <i>thank</i> you</p><p><strong>Empty</strong></p>"
+    assert J.team_sections(page)["sections"] == [
+        {"title": "A", "members": ["Ann (X): r", "Bob"], "hasPhotos": True, "noteHtml": "<p>note <b>x</b></p>"}, {"title": "B", "members": [], "hasPhotos": False, "noteHtml": "<p> We <i>thank</i> you</p>"},
+    ]
 
 
 def test_guide():
@@ -51,7 +97,7 @@ def test_guide():
 
 
 def test_fragments():
-    got = J.clean_fragment('<main><a href="/j/about">x</a><img src="i.png" srcset="y"></main>', "https://x/p/", lambda u: "R:" + u, lambda u: "I:" + u)
+    got = J.clean_fragment('<main><a href="/j/about">x</a><img src="i.png" srcset="y"></main>', "https://x/p/", lambda u: "R:" + u, lambda u, page: "I:" + page + u)
     assert got == '<div><a href="R:https://x/j/about">x</a><img src="I:https://x/p/i.png"></div>'
     page = '<div><button id="tab-pdf">P</button><button id="tab-html" class="t" aria-selected="false">H</button><div id="panel-pdf">p</div><div id="panel-html" hidden="">h</div></div>'
     assert J.strip_panel(page) == '<div><button id="tab-html" class="t is-active" aria-selected="true">H</button><div id="panel-html" class="is-active">h</div></div>'

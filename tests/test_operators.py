@@ -184,7 +184,7 @@ def test_sheet(spark):
     lookup = spark.createDataFrame([("10.1234/X", "Found", None, "abs")], "doi string, title string, authors array<struct<name:string,affiliation:string,orcid:string>>, abstract string")
     out = site.under_review(sheet, lookup).collect()
     assert [(r["id"], r["title"], r["submissionDate"]) for r in out] == [("14", "Untitled submission", "soon"), ("12", "Found", "2026-01-05")]
-    assert out[1]["authors"][0]["name"] == "Ann" and out[0]["authors"] == [] and out[1]["prereviewUrl"].endswith("doi-10.1234-x")
+    assert out[1]["authors"][0]["name"] == "Ann" and out[0]["authors"] == [] and out[1]["prereviewUrl"].endswith("doi-10.1234-x/write-a-prereview")
     extras = site.published_extras(sheet, "ord").collect()
     assert [(r["doi"], r["dataUrl"], r["materialsUrl"]) for r in extras] == [("10.1/a", "https://www.b.org", "")]
     m = spark.createDataFrame(extras).select(site.materials().alias("m")).first()["m"]

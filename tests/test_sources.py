@@ -103,12 +103,40 @@ def test_paged_source(spark):
     server = HTTPServer(("127.0.0.1", 0), Api)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(paged.PagedSource)
-    load = lambda path: spark.read.format("paged").option("url", f"http://127.0.0.1:{server.server_port}/{path}").option("kind", "offset").option("spacing", "0").load()
-    ids = load("x").select(F.get_json_object("value", "$.id").cast("int").alias("i"))
-    assert sorted(r["i"] for r in ids.collect()) == list(range(250))
+
+    def load(path, **options):
+        reader = spark.read.format("paged").option("url", f"http://127.0.0.1:{server.server_port}/{path}").option("kind", "offset").option("spacing", "0")
+        for k, v in options.items():
+            reader = reader.option(k, v)
+        return reader.load()
+
+    ids = load("x").select(F.get_json_object("value", "$.id").cast("int").alias("i"), "error")
+    assert sorted(r["i"] for r in ids.collect()) == list(range(250)) and ids.where("error IS NOT NULL").count() == 0
+    assert load("x", tasks="2").count() == 250
     server.shutdown()
 
 
+def test_paged_source_reports_failures(monkeypatch):
+    """A page that fails is a row with its error; without the first page there is no scan; requests keep their distance."""
+    waits = []
+    monkeypatch.setattr(paged.time, "sleep", waits.append)
+    bodies = {"offset=0": b'{"itemsMax": 250, "items": [1]}', "offset=100": None, "offset=200": b"<html>"}
+    monkeypatch.setattr(paged, "fetch", lambda url, token="": next((v for k, v in bodies.items() if url.endswith(k)), b"[1, 2]"))
+    reader = paged.PagedReader({"url": "http://h/x", "kind": "offset"})
+    (part,) = reader.partitions()
+    rows = list(reader.read(part))
+    assert [(r[0], r[2], r[3] is None) for r in rows] == [("0", "1", True), ("100", None, False), ("200", None, False)] and waits == [paged.SPACING] * 2
+    bodies["offset=0"] = None
+    with pytest.raises(OSError):
+        reader.partitions()
+    waits.clear()
+    reader = paged.PagedReader({"url": "http://h/{entity}/{metric}", "kind": "grid", "entities": "7, 8/9", "metrics": "abstract,galley", "start": "2025-01-03", "stop": "2025-02-01", "tasks": "2"})
+    names = sorted(n for p in reader.partitions() for n, _ in p.pages)
+    assert len(names) == 8 and names[0] == "7|abstract|2025-01" and any("8%2F9/galley?start=2025-02-01" in u for p in reader.partitions() for _, u in p.pages)
+    list(reader.read(reader.partitions()[0]))
+    assert waits == [2 * paged.SPACING] * 3
+
+
 def test_scraped_isolates_failures(spark):
     df = spark.createDataFrame([(1, "<html><title>T</title><h1>Head &amp; x</h1><p>ISSN: 1234-567X , y</p><a href='/z'>z</a><script>no</script>"), (2, None), (3, "bad")], "id long, html string")
 
@@ -134,6 +162,28 @@ def test_discovered_keeps_the_first_order(spark):
     assert [r["path"] for r in pages.discovered(links, "ord", "path", ["login"], ["user/"], ["a", "z"]).collect()] == ["b", "a", "z"]
 
 
+def test_json_atomic_keeps_what_is_there_when_a_job_fails(spark, tmp_path):
+    at = f"file://{tmp_path}/out"
+    sinks.json_atomic(spark.createDataFrame([(1,)], "a int"), at)
+    with pytest.raises(Exception, match="broken"):
+        sinks.json_atomic(spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("a")), at)
+    assert [r["a"] for r in spark.read.json(at).collect()] == [1] and [p.name for p in tmp_path.iterdir()] == ["out"]
+    sinks.json_atomic(spark.createDataFrame([(2,)], "a int"), at)
+    assert [r["a"] for r in spark.read.json(at).collect()] == [2] and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_pages_are_written_and_the_site_is_reset(spark, tmp_path):
+    folder = f"file://{tmp_path}/site"
+    assert sinks.reset_site(spark, folder) == []
+    df = spark.createDataFrame([("index.html", "ä"), ("a/b/index.html", "x"), ("a/b/index.html", "x"), ("none.html", None)], "p string, c string")
+    out = sinks.write_pages(sinks.rendered(df, F.col("p"), F.col("c")), folder).collect()
+    assert sorted((r["path"], r["bytes"]) for r in out) == [("a/b/index.html", 1), ("index.html", 2), ("none.html", 0)]
+    assert (tmp_path / "site/a/b/index.html").read_text() == "x" and sorted(p.name for p in (tmp_path / "site").iterdir()) == ["a", "index.html", "none.html"]
+    with pytest.raises(Exception, match="leads out"):
+        sinks.write_pages(spark.createDataFrame([("../x", "")], "path string, content string"), folder).collect()
+    assert sinks.reset_site(spark, folder, keep=("a",)) == ["index.html", "none.html"] and (tmp_path / "site/a/b/index.html").exists()
+
+
 def test_sinks(spark, tmp_path):
     at = f"file://{tmp_path}/out"
     df = spark.createDataFrame([(1, "ä")], "b int, a string")
