@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,8 @@ def clip(a: Rect, b: Rect) -> Rect:
 
 def union(a: Rect, b: Rect) -> Rect:
     return F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])
+
+
+def union_all(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The box around all boxes (x0, y0, x1, y1) of a key."""
+    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -149,6 +149,30 @@ def classified(spans: DataFrame, images: DataFrame, drawings: DataFrame, bookmar
     return out.select("doc", "page", "block", "ord", "kind", "level", "text", "figure_no", leading_marker(F.col("body")).alias("marker"))
 
 
+def block_html() -> Column:
+    """HTML of a classified block; a figure's image is left to whoever renders it, and what lies inside one is part of it."""
+    t = F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        t = F.replace(t, F.lit(char), F.lit(name))
+    tag = F.concat(F.lit("h"), F.least(F.col("level") + 1, F.lit(6)).cast("string"))
+    figure = lambda inside: F.concat(F.lit('<figure data-no="'), F.col("figure_no").cast("string"), F.lit('">'), inside, F.lit("</figure>"))
+    return (
+        F.when(F.col("kind") == "heading", F.concat(F.lit("<"), tag, F.lit(">"), t, F.lit("</"), tag, F.lit(">"))).when(F.col("kind") == "footnote", F.concat(F.lit('<aside class="footnote" data-marker="'), "marker", F.lit('">'), t, F.lit("</aside>")))
+        .when(F.col("kind") == "figure", figure(F.concat(F.lit("<figcaption>"), t, F.lit("</figcaption>")))).when(F.col("kind") == "equation", figure(F.lit(""))).when(F.col("kind") == "paragraph", F.concat(F.lit("<p>"), t, F.lit("</p>")))
+    )
+
+
+def full_text(blocks: DataFrame) -> DataFrame:
+    """One row per document: doc, html (a block a line, in reading order), and the numbers of headings, footnotes and figures.
+
+    blocks: the result of classified(). What lies inside figures is left out.
+    """
+    rows = blocks.withColumn("__h", block_html())
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("__h").isNotNull(), F.struct("ord", "__h")))), lambda x: x["__h"])
+    return rows.groupBy("doc").agg(F.array_join(lines, "\n").alias("html"), n("heading").alias("headings"), n("footnote").alias("footnotes"), n("figure", "equation").alias("figures"))
+
+
 def resolved_footnotes(references: DataFrame, bodies: DataFrame) -> DataFrame:
     """Reference marks (doc, page, marker) with the footnote's text; of repeated footnotes the last counts."""
     last = keep_last(bodies.select("doc", "page", "marker", "ord", F.col("text").alias("body")), ["doc", "page", "marker"], ["ord"]).drop("ord")

@@ -40,7 +40,9 @@ def keyed_json(spark: SparkSession, path: str, entry: str, key: str) -> DataFram
 def items(value: Column, item: str) -> Column:
     """Elements of a JSON list, or of the list under `items` of a JSON object."""
     kind = ArrayType(StructType.fromDDL(item))
-    return F.coalesce(F.from_json(value, kind), F.from_json(F.get_json_object(value, "$.items"), kind))
+    # an object read as a list would be a list of itself
+    whole = F.when(F.ltrim(value).startswith("["), value).otherwise(F.get_json_object(value, "$.items"))
+    return F.from_json(whole, kind)
 
 
 def sheet(spark: SparkSession, path: str) -> DataFrame:
