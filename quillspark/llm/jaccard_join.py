@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ class Sets:
         start = w.first[few]
         h = np.concatenate([seq.slices(at, at + shingle), seq.slices(start, w.first[few + 1])])
         owner = np.concatenate([text[at], few])
-        order = np.lexsort((h, owner))
+        # by hash, then stably by text: a radix sort where texts are few
+        order = np.argsort(h)
+        order = order[np.argsort(owner[order].astype(np.uint16 if len(column) < 1 << 16 else np.int64), kind="stable")]
         h, owner = h[order], owner[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -285,7 +288,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     reps = classes.select("block", "rep", "p")
 
     def own_sets(docs_: pa.Table, chosen: dict[tuple[int, int], int]):
-        """(rep, sets, index of the set) for each class whose first row lies in this block, once."""
+        """(sets, (rep, index of the set) ..) for each class whose first row lies in this block, once; only rows with the id
+        of a class are looked at."""
+        ids = rows_of(docs_, "doc_id")
+        docs_ = docs_.filter(pc.is_in(ids, pa.array(sorted({r for r, _ in chosen}), pa.int64())))
         column, ids = rows_of(docs_, "text"), rows_of(docs_, "doc_id").to_pylist()
         left = set(chosen)
         for i, j in pieces(column):
@@ -309,15 +315,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             keep = np.zeros(len(s.n), dtype=bool)
             keep[[x for _, x in at]] = True
             parts.append(s.h[keep[s.owner]])
-        keys, count = np.unique(np.concatenate(parts), return_counts=True)
+        keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
         low, count = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
         b = number(docs_, "block")
         return _rows(FREQ, [(k, b, low[x:y].tobytes(), count[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets)])
 
     def prefixes(docs_: pa.Table, back: pa.Table, chosen: dict):
         """(rep, index of the set in its piece, prints, prefix shingles) of each chosen set that can have links."""
-        grades = Grades(back, n_buckets)
-        for s, at in own_sets(docs_, chosen):
+        grades = Grades(back, n_buckets) if chosen else None
+        for s, at in own_sets(docs_, chosen) if chosen else ():
             grade, p = grades.of(s.h), s.prints()[0]
             for rep, x in at:
                 h, g = s.h[s.first[x] : s.first[x + 1]], grade[s.first[x] : s.first[x + 1]]
@@ -402,7 +408,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         state = big.join(parts, "node", "left").select("block", members["root"].alias("comp"), members["node"].alias("rep"), "p", F.coalesce(parts["root"], members["node"]).alias("label"))
         open_ = state.groupBy("comp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("comp")
         state = stored(state.join(open_, "comp", "left_semi"), "unlinked-groups")
-        lists = stored(with_block(blocks, graded.unionByName(state.select("*", *empty)), fourth, LISTED), "prefix-lists")
+        there = state.select("block").distinct()
+        lists = stored(with_block(blocks, graded.join(there, "block", "left_semi").unionByName(state.select("*", *empty)), fourth, LISTED), "prefix-lists")
         found = stored(found.unionByName(links(_by_list(lists, percent))), "links")
         parts = components(found)
     parts = parts.select(F.col("node").alias("rep"), "root")
