@@ -4,8 +4,8 @@ Rows are grouped by the length of the normalised text, then by a hash of its fir
 Each step works only on rows whose group of the step before has more than one row. The texts are read once for lengths
 and prefix hashes, and once more for the digests of surviving rows; where every row is to have its digest, both come
 from one pass. Groups are counted with partial aggregation, so a group that holds a third of all rows costs each task
-one row; groups of more than HOT_GROUP rows, which can only be few, are broadcast to their rows, the others meet them in
-an equi-join of small groups.
+one row; groups of more than HOT_GROUP rows are few and broadcast to their rows, the others meet theirs in an equi-join
+of small groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from quillspark.llm._spark import bounded, stored
 DELETED = " \t\n\x0b\x0c\r"
 #: Rows of a key table up to which it may be broadcast (three 8-byte columns each).
 BROADCAST_ROWS = 100_000
-#: Rows of a group beyond which it is broadcast; more, where BROADCAST_ROWS such groups could exist.
+#: Rows of a group beyond which it is broadcast; more, where there are more than BROADCAST_ROWS such groups.
 HOT_GROUP = 1000
 
 
@@ -52,16 +52,27 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # 2: of those, (length, prefix hash) pairs that occur more than once
     heads = rows.join(lengths, "n_norm", "left_semi").groupBy("n_norm", "head").agg(F.count("*").alias("n")).where("n > 1")
     heads = bounded(stored(heads.select("n_norm", "head", F.lit(True).alias("deep")), "heads"), BROADCAST_ROWS)
-    # 3: the full digest, of the rows of those pairs
-    deep = (rows if digest_all else headed.drop("digest")).join(heads, ["n_norm", "head"], "left")
-    deep = stored(deep.select("doc_id", "n_chars", "deep", "digest" if digest_all else F.when(F.col("deep"), full).alias("digest")), "digests")
+    # 3: the full digest, of the rows of those pairs; with digests of all rows, those of other rows are equal to none
+    if digest_all:
+        deep, last = rows.join(heads, ["n_norm", "head"], "left_semi"), rows.select("doc_id", "n_chars", "digest")
+    else:
+        last = headed.drop("digest").join(heads, ["n_norm", "head"], "left")
+        last = stored(last.select("doc_id", "n_chars", F.when(F.col("deep"), full).alias("digest")), "digests")
+        deep = last.where("digest IS NOT NULL")
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")
-    groups = deep.where("deep").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(rank).alias("best"))
+    groups = deep.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(rank).alias("best"))
     groups = stored(groups.where("group_size > 1").select("digest", "group_size", F.col("best.doc_id").alias("keep_id")), "groups")
-    # groups of more rows than this are fewer than BROADCAST_ROWS
-    hot = max(HOT_GROUP, deep.count() // max(BROADCAST_ROWS, 1))
-    large = F.broadcast(groups.where(F.col("group_size") > hot))
-    found = deep.join(large, "digest").unionByName(deep.join(large, "digest", "left_anti").join(groups.where(F.col("group_size") <= hot), "digest", "left"))
+    # the larger groups are the fewer: raise the limit until so few are left that they may be broadcast
+    hot = HOT_GROUP
+    while BROADCAST_ROWS and groups.where(F.col("group_size") > hot).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        hot *= 8
+    large = F.broadcast(groups.where(F.col("group_size") > hot).toDF("digest", "hot_size", "hot_id"))
+    small = groups.where(F.col("group_size") <= hot).withColumnRenamed("digest", "meet")
+    # rows that have their group already are spread over all tasks under keys that no group has
+    spread = F.concat(F.lit("-"), F.xxhash64(F.col("doc_id").cast("string")).cast("string"))
+    found = last.join(large, "digest", "left").withColumn("to", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(spread))
+    found = found.join(small, F.col("to") == F.col("meet"), "left").withColumn("keep_id", F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")))
+    found = found.withColumn("group_size", F.coalesce("hot_size", "group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

@@ -120,7 +120,18 @@ def spans_of(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """The ids of some symbols: all symbols above base are opened until none is left."""
+    """The ids of some symbols. Where they are more than the rules, rules are opened once and their ids gathered."""
+    if len(symbols) <= len(left) or not len(left):
+        return _opened(symbols, left, right, base)
+    spans = spans_of(left, right, base)
+    pool = np.concatenate([np.arange(base, dtype=np.int32), _opened(np.arange(base, base + len(left)), left, right, base)])
+    n = np.concatenate([np.ones(base, np.int64), spans])
+    at = np.cumsum(n) - n
+    return pool[ragged(at[symbols], n[symbols])]
+
+
+def _opened(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """All symbols from base on are opened, in rounds, until none is left."""
     seq = symbols.astype(np.int32)
     while True:
         open_ = seq >= base

@@ -218,6 +218,23 @@ def test_exact_dedup_without_broadcast(docs, monkeypatch):
     assert rows_of(exact_dedup.exact_duplicates(docs, digest_all=True), "doc_id", "keep_id", "group_size", "kept", "digest") == order(H.brute_exact(ROWS))
 
 
+def test_exact_dedup_of_hot_groups(spark, docs, monkeypatch):
+    """Groups above the limit are broadcast; where they are too many, only the largest."""
+    monkeypatch.setattr(exact_dedup, "HOT_GROUP", 2)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 1)
+    rows = [(i, "same" if i % 3 == 0 else f"text {i % 40}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for given, want in ((docs, ROWS), (df, rows)):
+        for every in (True, False):
+            got = exact_dedup.exact_duplicates(given, digest_all=every)
+            assert rows_of(got, "doc_id", "keep_id", "group_size", "kept") == order([w[:4] for w in H.brute_exact(want)])
+
+
+def test_exact_dedup_takes_ids_of_text(spark):
+    got = exact_dedup.exact_duplicates(spark.createDataFrame([("b", "x y"), ("a", "xy "), ("c", None)], "doc_id string, text string"))
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept") == [("a", "a", 2, True), ("b", "a", 2, False), ("c", "c", 1, True)]
+
+
 def known(rows):
     """Without the row that has no id: only its shingles are fixed."""
     return order(r for r in rows if r[0] is not None)
