@@ -134,6 +134,14 @@ def test_pieces_are_the_librarys():
         assert k.tolist() == np.diff(off).tolist() and ids.tolist() == want.tolist()
 
 
+def test_joined_pieces_are_the_librarys():
+    words = [" " + w for w in H.words(77, 900, 5000).split(" ")] + [" é", " 中文", " ", "x", " a1", "  b", " 's", " don't", " ǅ", " ª", " a\u0301", "\n", " \U00010428\U00010429"] * 40
+    off, ids = _bpe.encoded_pieces(token_counts.PATH, words)
+    off2, ids2 = _bpe.encoded(token_counts.PATH, words)
+    assert off.tolist() == off2.tolist() and ids.tolist() == ids2.tolist()
+    assert [x.tolist() for x in _bpe.encoded_pieces(token_counts.PATH, [])] == [[0], []]
+
+
 def test_token_output(docs):
     t = _bpe.tokenizer(token_output.PATH)
     want, at = [], 0
