@@ -1,6 +1,6 @@
 """Documents in blocks, and keys that more than one place of the corpus has.
 
-A block is one input split, or BLOCK_BYTES of it. Blocks are written once as a table bucketed by block, whose numbers
+A block is some megabytes of an input split. Blocks are written once as a table bucketed by block, whose numbers
 are chosen so that Spark's own bucket hash leaves each block in the task that read it: no text is shuffled, and every
 later step meets its blocks without an exchange. Each block sends every key once (with a mark if it has it twice), so
 a key that a third of all texts hold reaches its bucket once a block, and what a bucket finds goes back to blocks, not
@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from quillspark.llm._bytes import pieces, rows_of, text_buffer
 from quillspark.llm._spark import new_path
 
-#: Most bytes of text of a block (or one text), keys of a bucket on average, and keys of a row from a block to a bucket.
-BLOCK_BYTES, BUCKET_KEYS, ROW_KEYS = 32 << 20, 1 << 20, 64
+#: Most bytes of text of a block (or one text) in a corpus of up to BASE_SPLITS input splits, and in the largest; between them
+#: blocks grow with the square root of the splits, so that rows from blocks to buckets grow no faster than the corpus.
+BLOCK_BYTES, LARGEST_BLOCK, BASE_SPLITS = 8 << 20, 64 << 20, 1000
+#: Keys of a bucket on average, and keys of a row from a block to a bucket.
+BUCKET_KEYS, ROW_KEYS = 1 << 20, 64
 #: Buckets grow by this factor at most to keep rows of ROW_KEYS keys in very large corpora.
 WIDEST = 4
 #: Limit of Spark on the buckets of a table.
@@ -71,16 +74,18 @@ def _numbers(part: int, n: int):
 def in_blocks(docs: DataFrame) -> Blocks:
     """Slim documents in blocks, written once."""
     spark = docs.sparkSession
-    n = max(1, min(docs.rdd.getNumPartitions(), MOST_FILES))
+    splits = docs.rdd.getNumPartitions()
+    n = max(1, min(splits, MOST_FILES))
+    most = int(min(LARGEST_BLOCK, BLOCK_BYTES * max(1.0, (splits / BASE_SPLITS) ** 0.5)))
 
     def cut(batches):
         numbers = _numbers(TaskContext.get().partitionId(), n)
         block, held = next(numbers), 0
         for batch in batches:
             text, ids = rows_of(batch, "text"), rows_of(batch, "doc_id")
-            for i, j in pieces(text, BLOCK_BYTES):
+            for i, j in pieces(text, most):
                 size = np.diff(text_buffer(text.slice(i, j - i))[0])
-                if held and held + int(size.sum()) > BLOCK_BYTES:
+                if held and held + int(size.sum()) > most:
                     block, held = next(numbers), 0
                 held += int(size.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block, np.int32)), ids.slice(i, j - i), text.slice(i, j - i), pa.array(size)], ["block", "doc_id", "text", "size"])

@@ -69,7 +69,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def pieces(column: pa.Array, most: int = 2 << 20):
+def pieces(column: pa.Array, most: int = 1 << 20):
     """(first row, row after the last) so that each piece holds at most `most` bytes, or one text."""
     offsets, _ = text_buffer(column)
     i, n = 0, len(offsets) - 1

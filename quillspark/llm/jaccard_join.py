@@ -315,7 +315,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             keep = np.zeros(len(s.n), dtype=bool)
             keep[[x for _, x in at]] = True
             parts.append(s.h[keep[s.owner]])
-        keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        keys = np.concatenate([np.zeros(0, np.uint64), *parts])
+        del parts
+        keys.sort()
+        head = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
+        keys, count = keys[head], np.diff(np.append(head, len(keys)))
         low, count = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
         b = number(docs_, "block")
         return _rows(FREQ, [(k, b, low[x:y].tobytes(), count[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets)])
