@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._spark import discard, stored
 
+#: Edges of a file of a round's table, so that small tables are not thousands of files.
+EDGES_A_FILE = 200_000
+
 
 def _print(edges: DataFrame) -> tuple:
     """Tells two edge sets apart without collecting them."""
@@ -31,7 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        # a round has no more edges than the one before
+        after = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        old, e = e, stored(after.coalesce(1 + before[0] // EDGES_A_FILE), "edges")
         discard(old)
         now = _print(e)
         if now == before:
