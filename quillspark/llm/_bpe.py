@@ -21,7 +21,7 @@ from quillspark.llm._bytes import HashIndex, bytes_hash, text_buffer
 LETTER, NUMBER, OTHER, SPACE, BLANK, BOUND, UNKNOWN = range(7)
 _WHITE = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 #: Bytes of text per call of the array kernels, and entries of a worker's cache before it starts anew.
-PIECE_BYTES, CACHE_ENTRIES = 2 << 20, 1_000_000
+PIECE_BYTES, CACHE_ENTRIES = 1 << 20, 400_000
 ENCODED_AT_ONCE = 4096
 #: Pre-tokens in a joined text, and joined texts encoded at a time.
 JOINED, JOINED_AT_ONCE = 256, 64
