@@ -9,6 +9,7 @@ to single texts. Rows are blobs of sorted 64-bit keys.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -32,6 +33,9 @@ WIDEST = 4
 #: Limit of Spark on the buckets of a table.
 MOST_FILES = 100_000
 
+#: glibc's call that gives free memory back; other C libraries may lack it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SENT = "bucket int, block int, keys binary, twice binary"
 BACK = "block int, keys binary"
 
@@ -149,7 +153,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def shared_keys(sent: DataFrame) -> DataFrame:
     """(block, keys): of what blocks sent, the keys that occur more than once in the corpus."""
-    return sent.groupBy("bucket").applyInArrow(_meet, BACK)
+    return sent.groupBy("bucket").applyInArrow(slimmed(_meet), BACK)
 
 
 def joined_keys(table: pa.Table) -> np.ndarray:
@@ -158,10 +162,27 @@ def joined_keys(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def released(out: pa.Table) -> pa.Table:
+    """out, after what its making has left free went back to the system: Python workers that wait for a next group stay small."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return out
+
+
+def slimmed(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for groups, with memory released after each."""
+
+    def one(table: pa.Table) -> pa.Table:
+        return released(f(table))
+
+    return one
+
+
 def with_block(docs: DataFrame, back: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """f on each block's documents and on what came back to it; blocks without documents give nothing."""
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
-        return f(a, b)
+        return released(f(a, b))
 
     return docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(both, schema)

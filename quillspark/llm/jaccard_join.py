@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import bucket_of, in_blocks, number, split_keys, with_block
+from quillspark.llm._blocks import bucket_of, in_blocks, number, slimmed, split_keys, with_block
 from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import NOT_SPACE, HashIndex, Running, Words, mix, pieces, rows_of
 from quillspark.llm._components import components
@@ -365,13 +365,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             out += [(block, comp, key, rep, p, label, n) for key in h.view(np.int64).tolist()]
         return _rows(LISTED, out)
 
-    frequencies = stored(with_block(blocks, reps, first, FREQ).groupBy("bucket").applyInArrow(_frequencies, FREQ_BACK), "grades")
+    frequencies = stored(with_block(blocks, reps, first, FREQ).groupBy("bucket").applyInArrow(slimmed(_frequencies), FREQ_BACK), "grades")
     gone = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
     graded = frequencies.select("*", *gone(("rep", "long"), ("p", "long"), ("comp", "long"), ("label", "long")))
     empty = gone(("bucket", "int"), ("keys", "binary"), ("grades", "binary"))
     back = graded.unionByName(reps.select("*", *empty, *gone(("comp", "long"), ("label", "long"))))
     keyed = stored(with_block(blocks, back, second, KEYS), "prefix-keys")
-    meet = keyed.where("kind = 0").groupBy("bucket").applyInArrow(_meet_first, EDGES)
+    meet = keyed.where("kind = 0").groupBy("bucket").applyInArrow(slimmed(_meet_first), EDGES)
     near = keyed.where("kind = 1").mapInArrow(_open_edges, EDGES)
     groups = stored(components(meet.unionByName(near)), "groups")
 
@@ -401,7 +401,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def links(to: DataFrame) -> DataFrame:
         to = to.select("block", "rep", "p", "comp", "x", "y", "side", "label")
-        return with_block(blocks, to, third, TOKENS).groupBy("comp", "x", "y").applyInArrow(_chunk_links(percent), EDGES)
+        return with_block(blocks, to, third, TOKENS).groupBy("comp", "x", "y").applyInArrow(slimmed(_chunk_links(percent)), EDGES)
 
     none = F.lit(-1)
     own = members.select("block", F.col("node").alias("rep"), "p", F.col("root").alias("comp"), F.explode("where").alias("x"), none.alias("y"), F.lit(CHUNK).alias("side"), none.cast("long").alias("label"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import bucket_of, in_blocks, number, spans, split_keys, with_block
+from quillspark.llm._blocks import bucket_of, in_blocks, number, slimmed, spans, split_keys, with_block
 from quillspark.llm._bpe import ragged
 from quillspark.llm._bytes import HashIndex, bytes_hash, cover, mix, pieces, rows_of, separated
 from quillspark.llm._spark import slim, stored, table
@@ -420,9 +420,9 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table([ids, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     met, depth = [], 0
-    sent = blocks.groupBy("block").applyInArrow(first, SENT)
+    sent = blocks.groupBy("block").applyInArrow(slimmed(first), SENT)
     while True:
-        met.append(stored(sent.groupBy("bucket").applyInArrow(_meet, MET), "contexts"))
+        met.append(stored(sent.groupBy("bucket").applyInArrow(slimmed(_meet), MET), "contexts"))
         depth += 1
         open_ = met[-1].where("length(ask) + length(split) > 0").select("block", "ask", "split")
         if open_.limit(1).count() == 0:
@@ -434,7 +434,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_contexts = states.select(F.sum(F.length(F.regexp_replace(F.hex("states"), "01", "")) / 2).alias("n")).first()["n"] or 0
     n_indexes = max(4, int(n_contexts * (window + 45)) // BUCKET_BYTES + 1)
     texts = with_block(blocks, states, third(n_indexes, depths), TEXTS)
-    found = texts.groupBy("index").applyInArrow(_indexed(window), FOUND)
+    found = texts.groupBy("index").applyInArrow(slimmed(_indexed(window)), FOUND)
     back = states.select("*", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("marks")).unionByName(
         found.withColumn("states", F.lit(None).cast("binary")))
     return with_block(blocks, back, lambda a, b: last(a, b, depths), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
