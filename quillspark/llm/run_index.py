@@ -6,8 +6,10 @@
    its keys with the hashes of their contexts, at most BLOCK_CONTEXTS a key. Contexts whose key the corpus has once
    cannot repeat and go no further. Where a block has more contexts of a key, the bucket asks it for all of them, or,
    if the key may have more than MOST_CONTEXTS different ones (a common line shorter than a window), has the key split:
-   its windows form contexts of half the width, whose keys take in more bytes, and so on; at the last depth a context
-   is one window and its key the whole of it. Both limits are the same at every size.
+   its windows form contexts of a tenth of the width, whose keys take in more bytes, and so on; at the last depth a
+   context is one window and its key the whole of it. Both limits are the same at every size. Blocks keep the split keys
+   of all depths and form narrower contexts of their windows only, so a key that is split costs its own windows and not
+   all of the text's, and there are three depths at most.
 2. Equal contexts under a key are one row with a multiplicity, as equal runs are in a run-length index; every window of
    a context that occurs twice repeats. Contexts that share their key only with different ones, and one copy of each
    different one, go to the index of their bucket.
@@ -44,6 +46,8 @@ PIECE_BYTES = 1 << 19
 FULL, EDGE, COPY = 1, 2, 3
 #: Contexts of a key that a block sends unasked, and different contexts beyond which a key is split.
 BLOCK_CONTEXTS, MOST_CONTEXTS = 8, 4096
+#: Parts that the range of a split key is cut into: each further depth is one more pass over the texts.
+SPLIT = 10
 
 
 def _ranges(slack: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -56,7 +60,7 @@ def _ranges(slack: int) -> list[tuple[np.ndarray, np.ndarray]]:
         out.append((lo, hi))
         if all(a == b for a, b in ranges):
             return out
-        ranges = [r for a, b in ranges for r in ([(a, b)] if a == b else [(a, (a + b) // 2), ((a + b) // 2 + 1, b)])]
+        ranges = [(x, min(x + step, b + 1) - 1) for a, b in ranges for step in [-(-(b - a + 1) // SPLIT)] for x in range(a, b + 1, step)]
 
 
 class Contexts:
@@ -67,7 +71,7 @@ class Contexts:
         n, w = len(self.data), window - gram + 1
         self.run, self.window, self.ranges = bytes_hash(self.data), window, _ranges(window - gram)
         self.start = self.pick = np.zeros(0, np.int64)
-        self.at_depth(0)
+        self._form(0, self.start, self.pick)
         room = np.repeat(self.starts[1:] - 1, np.diff(self.starts)) - np.arange(n)
         ok = room >= window
         if not ok.any():
@@ -84,30 +88,33 @@ class Contexts:
         self.start = np.flatnonzero(ok)
         low = np.minimum(behind[self.start], ahead[self.start + w - 1])
         self.pick = (low & low_bits).astype(np.int64)
-        self.at_depth(0)
+        self._form(0, self.start, self.pick)
 
-    def at_depth(self, depth: int) -> Contexts:
+    def depths(self, splits: list[HashIndex]):
+        """Itself with its contexts of each depth: all at the first, then those of windows whose key was split."""
+        start, pick = self.start, self.pick
+        yield self
+        for depth, split in enumerate(splits, 1):
+            own = np.repeat(split.find(self.key) >= 0, self.n)
+            start, pick = start[own], pick[own]
+            if not len(start):
+                return
+            self._form(depth, start, pick)
+            yield self
+
+    def _form(self, depth: int, start: np.ndarray, pick: np.ndarray) -> None:
         """Contexts of windows side by side with the same anchor and the same range of distances to it."""
         lo, hi = self.ranges[depth]
-        start, pick = self.start, self.pick
         side = lo[pick - start]
         head = np.ones(len(start), dtype=bool)
         head[1:] = (pick[1:] != pick[:-1]) | (side[1:] != side[:-1]) | (start[1:] != start[:-1] + 1)
         where = np.flatnonzero(head)
         self.first, self.n = start[where], np.diff(np.append(where, len(start)))
         self.anchor, self.near = pick[where], pick[where] - start[where]
-        self.key = self._keys(depth)
+        lo, hi = lo[self.near], hi[self.near]
+        # the bytes that all windows of the range share, and the range
+        self.key = mix(self.run.slices(self.anchor - lo, self.anchor - hi + self.window) + (lo * 512 + hi).astype(np.uint64))
         self.hash = mix(self.run.slices(self.first, self.first + self.n - 1 + self.window) + (self.anchor - self.first).astype(np.uint64))
-        return self
-
-    def _keys(self, depth: int) -> np.ndarray:
-        """Hash of the bytes that all windows of the range share, and of the range."""
-        lo, hi = (r[self.near] for r in self.ranges[depth])
-        return mix(self.run.slices(self.anchor - lo, self.anchor - hi + self.window) + (lo * 512 + hi).astype(np.uint64))
-
-    def under(self, depth: int, split: HashIndex) -> np.ndarray:
-        """Which contexts of this depth come from a split key of the depth before."""
-        return split.find(self._keys(depth - 1)) >= 0
 
 
 class RunIndex:
@@ -342,25 +349,29 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             """All contexts of the keys that were asked for at the depth before, and narrower ones of those to be split."""
             if not docs_.num_rows or not back.num_rows:
                 return _table(SENT, [])
-            ask, split = (HashIndex(np.sort(_column(back, c, np.uint64))) for c in ("ask", "split"))
+            ask, splits = HashIndex(np.unique(_column(back, "ask", np.uint64))), _splits(back)
+            if not len(ask.keys) and len(splits) < depth:
+                return _table(SENT, [])
             block, asked, narrower = number(docs_, "block"), [np.zeros((0, 2), np.uint64)], [np.zeros((0, 2), np.uint64)]
             for c in parts(docs_):
-                own = ask.find(c.at_depth(depth - 1).key) >= 0
-                asked.append(np.column_stack([c.key[own], c.hash[own]]))
-                if len(split.keys):
-                    own = c.at_depth(depth).under(depth, split)
-                    narrower.append(np.column_stack([c.key[own], c.hash[own]]))
+                for d, c in enumerate(c.depths(splits)):
+                    if d == depth - 1:
+                        own = ask.find(c.key) >= 0
+                        asked.append(np.column_stack([c.key[own], c.hash[own]]))
+                    elif d == depth:
+                        narrower.append(np.column_stack([c.key, c.hash]))
             return _table(SENT, _send(block, np.concatenate(asked), n_buckets, 1) + _send(block, np.concatenate(narrower), n_buckets, 0))
 
         return send
 
-    def third(n_indexes: int, depths: int):
+    def third(n_indexes: int):
         def send_texts(docs_: pa.Table, back: pa.Table) -> pa.Table:
             if not docs_.num_rows or not back.num_rows:
                 return _table(TEXTS, [])
             known, _, states = _lookup(back)
+            splits = _splits(back)
             copied, out = np.zeros(len(states), dtype=bool), []
-            for c in (c.at_depth(d) for c in parts(docs_) for d in range(depths)):
+            for c in (c for part in parts(docs_) for c in part.depths(splits)):
                 row = known.find(c.key ^ mix(c.hash))
                 state = np.where(row >= 0, states[row], 0) if len(states) else np.zeros(len(row), np.uint8)
                 # one copy of a context that occurs several times
@@ -379,9 +390,10 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return send_texts
 
-    def last(docs_: pa.Table, back: pa.Table, depths: int) -> pa.Table:
+    def last(docs_: pa.Table, back: pa.Table) -> pa.Table:
         ids, out = rows_of(docs_, "doc_id"), [[], [], [], []]
         known, _, states = _lookup(back)
+        splits = _splits(back)
         some = [x is not None for x in rows_of(back, "marks").to_pylist()] if back.num_rows else []
         found = back.filter(pa.array(some, pa.bool_()))
         marked = HashIndex(np.zeros(0, np.uint64))
@@ -397,8 +409,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             marked, at, n = HashIndex(keys[order]), (np.cumsum(n) - n)[order], n[order]
         for c in parts(docs_):
             gone = np.zeros(len(c.data), dtype=bool)
-            for depth in range(depths):
-                both = c.at_depth(depth).key ^ mix(c.hash)
+            for c in c.depths(splits):
+                both = c.key ^ mix(c.hash)
                 row = known.find(both)
                 full = np.flatnonzero((row >= 0) & (states[row] != EDGE)) if len(states) else np.zeros(0, np.int64)
                 gone |= cover(len(c.data), c.first[full], c.first[full] + c.n[full] - 1 + window)
@@ -424,20 +436,21 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while True:
         met.append(stored(sent.groupBy("bucket").applyInArrow(slimmed(_meet), MET), "contexts"))
         depth += 1
-        open_ = met[-1].where("length(ask) + length(split) > 0").select("block", "ask", "split")
+        open_ = met[-1].where("length(ask) + length(split) > 0").select("block", "ask", F.lit(depth - 1).alias("depth"), "split")
         if open_.limit(1).count() == 0:
             break
-        sent = with_block(blocks, open_, further(depth), SENT)
+        past = [m.where("length(split) > 0").select("block", F.lit(None).cast("binary").alias("ask"), F.lit(d).alias("depth"), "split") for d, m in enumerate(met[:-1])]
+        sent = with_block(blocks, reduce(DataFrame.unionAll, [open_, *past]), further(depth), SENT)
     states = reduce(DataFrame.unionAll, met).where("length(states) > 0").select("block", "keys", "hashes", "states")
-    depths = min(depth, len(_ranges(window - GRAM)))
     # as many indexes as the contexts to be indexed need: their number follows from the states
     n_contexts = states.select(F.sum(F.length(F.regexp_replace(F.hex("states"), "01", "")) / 2).alias("n")).first()["n"] or 0
     n_indexes = max(4, int(n_contexts * (window + 45)) // BUCKET_BYTES + 1)
-    texts = with_block(blocks, states, third(n_indexes, depths), TEXTS)
+    splits = reduce(DataFrame.unionAll, [m.where("length(split) > 0").select("block", F.lit(d).alias("depth"), "split") for d, m in enumerate(met)])
+    known = states.unionByName(splits, allowMissingColumns=True)
+    texts = with_block(blocks, known, third(n_indexes), TEXTS)
     found = texts.groupBy("index").applyInArrow(slimmed(_indexed(window)), FOUND)
-    back = states.select("*", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("marks")).unionByName(
-        found.withColumn("states", F.lit(None).cast("binary")))
-    return with_block(blocks, back, lambda a, b: last(a, b, depths), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    back = known.unionByName(found, allowMissingColumns=True)
+    return with_block(blocks, back, last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _unique_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,6 +463,13 @@ def _unique_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[at], np.diff(np.append(at, len(pairs)))
 
 
+def _splits(back: pa.Table) -> list[HashIndex]:
+    """The split keys of each depth that came back to a block."""
+    own = back.filter(pa.array([bool(x) for x in rows_of(back, "split").to_pylist()], pa.bool_())) if back.num_rows else back
+    depth = np.array(rows_of(own, "depth").to_pylist(), dtype=np.int64)
+    return [HashIndex(np.unique(_column(own.filter(pa.array(depth == d)), "split", np.uint64))) for d in range(int(depth.max(initial=-1)) + 1)]
+
+
 def _lookup(back: pa.Table) -> tuple[HashIndex, np.ndarray, np.ndarray]:
     """(index by key and content, hashes, states) of the contexts that came back with a state."""
     own = back.filter(pa.array([x is not None for x in rows_of(back, "states").to_pylist()], pa.bool_())) if back.num_rows else back

@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import helpers as H
@@ -52,6 +53,30 @@ def test_run_index_splits_keys_of_many_contexts(spark, docs, monkeypatch):
     assert got == order(H.brute_bytes(rows)) and sum(r[2] for r in got) > 0
 
 
+def test_run_index_splits_in_few_passes(spark, monkeypatch):
+    """Workers see the limits here. A passage in every text is split down to single windows by three passes over the texts."""
+    passes, plain = [], run_index.stored
+    monkeypatch.setattr(run_index, "MOST_CONTEXTS", 4)
+    monkeypatch.setattr(run_index, "stored", lambda df, what: passes.append(what) or plain(df, what))
+    line = H.words(400, 60)
+    rows = [(i, H.words(500 + i, 30) + " " + line + " " + H.words(600 + i // 2, 40) + " " + H.words(700 + i, 30)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cloudpickle.register_pickle_by_value(run_index)
+    try:
+        got = rows_of(run_index.repeated_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        cloudpickle.unregister_pickle_by_value(run_index)
+    assert got == order(H.brute_bytes(rows)) and len(line) > 200
+    assert passes == ["contexts"] * 3
+
+
+def test_run_index_splits_only_windows_of_split_keys():
+    """Contexts of a further depth cover the windows of the split keys and no others."""
+    c = run_index.Contexts(pa.array([H.words(i, 400) for i in range(5)]))
+    n, key, split = int(c.n.sum()), c.key[:3].copy(), int(c.n[:3].sum())
+    assert [int(x.n.sum()) for x in c.depths([run_index.HashIndex(np.sort(key))])] == [n, split]
+
+
 def test_run_index_orders_anchors_by_32_bits_in_short_texts_too(monkeypatch):
     """Grams that tie in the leading 32 bits of their hash pick the first position, whatever the later bits are."""
     plain = run_index.bytes_hash
