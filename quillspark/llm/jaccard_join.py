@@ -339,37 +339,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 yield rep, int(p[x]), n, h[here[np.lexsort((h[here], g[here]))[:most]]]
 
     def second(docs_: pa.Table, back: pa.Table) -> pa.Table:
-        """Links of each class to the smallest class of this block with the same prefix shingle, and those for buckets."""
+        """Links of each class to the smallest class of this block with the same prefix shingle, those for buckets, and the
+        prefix of each class."""
         if not back.num_rows or not docs_.num_rows:
             return _rows(KEYS, [])
-        keys, reps_ = [], []
-        for rep, _, _, h in prefixes(docs_, back, chosen_of(back)):
+        keys, about = [], []
+        for rep, p, n, h in prefixes(docs_, back, chosen_of(back)):
             keys.append(h)
-            reps_.append(np.full(len(h), rep))
+            about.append((rep, p, n, len(h)))
         if not keys:
             return _rows(KEYS, [])
-        keys, reps_ = np.concatenate(keys), np.concatenate(reps_).astype(np.int64)
-        keys, heads, edges = _to_first(keys, reps_)
-        b = number(docs_, "block")
-        out = [(0, k, b, keys[x:y].tobytes(), heads[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets)]
+        keys, about, b = np.concatenate(keys), np.array(about, np.int64), number(docs_, "block")
+        kept = (2, 0, b, keys.tobytes(), about.tobytes())
+        keys, heads, edges = _to_first(keys, np.repeat(about[:, 0], about[:, 3]))
+        out = [kept, *((0, k, b, keys[x:y].tobytes(), heads[x:y].tobytes()) for k, x, y in split_keys(keys, n_buckets))]
         return _rows(KEYS, [*out, (1, 0, b, edges[:, 0].tobytes(), edges[:, 1].tobytes())])
 
-    def fourth(docs_: pa.Table, back: pa.Table) -> pa.Table:
-        """The lists of prefix shingles that the members of unlinked groups are in."""
-        if not back.num_rows or not docs_.num_rows:
-            return _rows(LISTED, [])
-        groups_ = {(r["rep"], r["p"]): (r["comp"], r["label"]) for r in back.select(["rep", "p", "comp", "label"]).to_pylist() if r["rep"] is not None}
-        block, out = number(docs_, "block"), []
-        for rep, p, n, h in prefixes(docs_, back, groups_):
-            comp, label = groups_[rep, p]
-            out += [(block, comp, key, rep, p, label, n) for key in h.view(np.int64).tolist()]
-        return _rows(LISTED, out)
-
     frequencies = stored(with_block(blocks, reps, first, FREQ).groupBy("bucket").applyInArrow(slimmed(_frequencies), FREQ_BACK), "grades")
-    gone = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    graded = frequencies.select("*", *gone(("rep", "long"), ("p", "long"), ("comp", "long"), ("label", "long")))
-    empty = gone(("bucket", "int"), ("keys", "binary"), ("grades", "binary"))
-    back = graded.unionByName(reps.select("*", *empty, *gone(("comp", "long"), ("label", "long"))))
+    back = frequencies.unionByName(reps, allowMissingColumns=True)
     keyed = stored(with_block(blocks, back, second, KEYS), "prefix-keys")
     meet = keyed.where("kind = 0").groupBy("bucket").applyInArrow(slimmed(_meet_first), EDGES)
     near = keyed.where("kind = 1").mapInArrow(_open_edges, EDGES)
@@ -412,8 +399,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         state = big.join(parts, "node", "left").select("block", members["root"].alias("comp"), members["node"].alias("rep"), "p", F.coalesce(parts["root"], members["node"]).alias("label"))
         open_ = state.groupBy("comp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("comp")
         state = stored(state.join(open_, "comp", "left_semi"), "unlinked-groups")
-        there = state.select("block").distinct()
-        lists = stored(with_block(blocks, graded.join(there, "block", "left_semi").unionByName(state.select("*", *empty)), fourth, LISTED), "prefix-lists")
+        # the prefixes are kept from the pass that made them: grades and texts of whole blocks are not needed again
+        kept = keyed.where("kind = 2").select("block", "keys", "reps").join(state.select("block").distinct(), "block", "left_semi")
+        lists = stored(with_block(kept, state, _prefix_lists, LISTED), "prefix-lists")
         found = stored(found.unionByName(links(_by_list(lists, percent))), "links")
         parts = components(found)
     parts = parts.select(F.col("node").alias("rep"), "root")
@@ -422,6 +410,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def _prefix_lists(kept: pa.Table, back: pa.Table) -> pa.Table:
+    """The lists of prefix shingles that a block's members of unlinked groups are in."""
+    if not kept.num_rows or not back.num_rows:
+        return _rows(LISTED, [])
+    groups = {(r["rep"], r["p"]): (r["comp"], r["label"]) for r in back.select(["rep", "p", "comp", "label"]).to_pylist()}
+    block, out, i = number(kept, "block"), [], 0
+    keys = np.frombuffer(rows_of(kept, "keys")[0].as_py(), np.int64)
+    for rep, p, n, m in np.frombuffer(rows_of(kept, "reps")[0].as_py(), np.int64).reshape(-1, 4).tolist():
+        if (rep, p) in groups:
+            comp, label = groups[rep, p]
+            out += [(block, comp, key, rep, p, label, n) for key in keys[i : i + m].tolist()]
+        i += m
+    return _rows(LISTED, out)
+
+
 def _by_list(lists: DataFrame, percent: int) -> DataFrame:
     """Rows of links(): for each list with members that are not yet linked, its members, equal lists once.
 

@@ -297,6 +297,23 @@ def test_jaccard_chunks_find_all_links(spark, monkeypatch):
     assert order(tuple(r) for r in got.collect()) == order(H.brute_jaccard(rows))
 
 
+def test_jaccard_lists_come_from_kept_prefixes(spark, monkeypatch):
+    """Unlinked groups are joined by the prefixes that the first pass kept: grades go to blocks once, texts are read four times."""
+    backs, plain = [], jaccard_join.with_block
+
+    def seen(docs, back, f, schema):
+        backs.append(("text" in docs.columns, "grades" in back.columns))
+        return plain(docs, back, f, schema)
+
+    monkeypatch.setattr(jaccard_join, "with_block", seen)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 3)
+    phrase = [H.words(20_000 + i, 8) for i in range(42)]
+    rows = [(i, " ".join(phrase[i : i + 3])) for i in range(40)] + [(40 + i, " ".join(phrase[i : i + 3]) + " end") for i in range(0, 40, 5)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id")
+    assert order(tuple(r) for r in got.collect()) == order(H.brute_jaccard(rows))
+    assert len(backs) == 5 and sum(t for t, _ in backs) == 4 and sum(g for _, g in backs) == 1
+
+
 def test_jaccard_chain_of_stock_phrases(spark, monkeypatch):
     """Sets that share phrases with their neighbours, none similar enough: one group, nothing linked, rows linear in it."""
     n, sent = 5000, []
