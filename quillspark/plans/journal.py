@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.plans.tables import table
+from quillspark.plans.tables import spread, table
 from quillspark.sources import journal_pages as J
 from quillspark.sources import pages
 
@@ -14,7 +14,7 @@ SITE = J.Site(BASE, known=frozenset({"about"}))
 
 def _page(df, key, pattern, *columns):
     """(key, html): a page of each row; %s in the pattern are the columns."""
-    return df.select(F.col(key).cast("string").alias("key"), F.format_string(pattern, *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("html"))
+    return spread(df, key).select(F.col(key).cast("string").alias("key"), F.format_string(pattern, *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("html"))
 
 
 def _join(array, *fields):

@@ -115,3 +115,17 @@ def test_registries(spark):
     out = {r["doi"]: r for r in registries.lookup(keys, registries.first_registry(a), registries.second_registry(b)).collect()}
     assert out["1"]["title"] == "A & B" and [x["name"] for x in out["1"]["authors"]] == ["Ann Lee"] and out["1"]["abstract"] == "<p>t</p>"
     assert [(x["name"], x["orcid"]) for x in out["2"]["authors"]] == [("Bo", "o1"), ("Group", "")] and out["2"]["abstract"] == "<p>x</p>" and out["3"]["title"] is None
+
+
+@pytest.mark.parametrize("name", ["article_records"])
+def test_pages_of_a_small_file_are_many_tasks(spark, tmp_path, name):
+    """A table of one small file is one task of Spark's own; its pages must not be."""
+    from pyspark.sql import functions as F
+
+    from quillspark.plans import registry
+
+    rows = spark.range(12_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "id AS c_custkey", "'c' AS c_name", "id % 5 AS c_nationkey")
+    for table in ("part", "customer"):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    each = [r["count"] for r in registry.QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == 3 and max(each) < 2 * sum(each) / 3
