@@ -10,6 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: Spark guesses a frame's size from its files, not from what the rows became."""
+    return df.hint("merge")
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the last by `order`: one aggregation with map-side combine, no sort of whole groups."""
     return _pick(df, keys, order, F.max_by)

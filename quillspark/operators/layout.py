@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import strip
 from quillspark.functions.numbers import clip, intersects, tenth
 from quillspark.functions.text import dehyphenate, furniture_key, norm
-from quillspark.operators.joins import keep_last
+from quillspark.operators.joins import keep_last, merged
 from quillspark.operators.sections import inside_gate, running_number, start_gate
 
 # Style flag, thresholds and patterns of the rules below
@@ -38,25 +38,41 @@ def _place() -> Column:
 
 def body_size(spans: DataFrame) -> DataFrame:
     """(doc, body): the font size of most characters; 11.0 where there are none."""
-    sized = weighted_mode(spans.where("block_type = 0"), ["doc"], tenth(F.col("size")), F.length("text"), _place())
-    return spans.select("doc").distinct().join(sized, "doc", "left").select("doc", F.coalesce("mode", F.lit(DEFAULT_SIZE)).alias("body"))
+    sized = (F.col("block_type") == 0) & F.col("doc").isNotNull()
+    sums = spans.groupBy("doc", sized.alias("sized"), F.when(sized, tenth(F.col("size"))).alias("mode")).agg(F.sum(F.length("text")).alias("w"), F.min(_place()).alias("first"))
+    best = F.max_by("mode", F.when(F.col("sized"), F.struct("w", (-F.col("first")).alias("back"))))
+    return sums.groupBy("doc").agg(F.coalesce(best, F.lit(DEFAULT_SIZE)).alias("body"))
 
 
 def block_rows(spans: DataFrame) -> DataFrame:
     """One row per text block: its text, its dominant style, its share of maths characters, its first span, its box."""
     key = ["doc", "page", "block"]
-    s = spans.where("block_type = 0")
-    lines = s.groupBy(*key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "").alias("t"))
-    text = lines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("lines")).select(*key, dehyphenate(F.col("lines")).alias("text"))
-    n = F.length(strip(F.col("text")))
+    s = spans.where("block_type = 0 AND doc IS NOT NULL AND page IS NOT NULL AND block IS NOT NULL")
+    n, boxes = F.length(strip(F.col("text"))), ("page_w", "page_h", "x0", "y0", "x1", "y1")
     style = F.struct(tenth(F.col("size")).alias("size"), (F.col("flags").bitwiseAND(BOLD) != 0).alias("bold"))
-    mode = weighted_mode(s.where(n > 0), key, style, n, _place()).select(*key, F.col("mode.size").alias("size"), F.col("mode.bold").alias("bold"))
-    box = s.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in ("page_w", "page_h", "x0", "y0", "x1", "y1")],
-        F.min_by(F.struct("text", "size"), F.struct("line", "span")).alias("lead"), F.sum(F.when(F.col("font").rlike(MATH_FONT), n).otherwise(0)).alias("m"), F.sum(n).alias("n"),
+    sums = (F.sum(F.when(F.col("font").rlike(MATH_FONT), n).otherwise(0)).alias("m"), F.sum(n).alias("n"))
+    lines = s.groupBy(*key, "line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "").alias("t"), *[F.first(c).alias(c) for c in boxes],
+        F.min_by(F.struct("text", "size"), F.struct("span")).alias("lead"), *sums, F.collect_list(F.when(n > 0, F.struct(style.alias("style"), n.alias("n"), _place().alias("at")))).alias("styles"),
     )
-    out = box.join(text, key).join(mode, key, "left")
-    return out.select(*key, "text", F.coalesce("size", F.lit(0.0)).alias("size"), F.coalesce("bold", F.lit(False)).alias("bold"), F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(0.0).alias("math_share"), "lead", "page_w", "page_h", "x0", "y0", "x1", "y1")
+    b = lines.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("lines"), *[F.first(c).alias(c) for c in boxes],
+        F.min_by("lead", F.struct("line")).alias("lead"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.flatten(F.collect_list("styles")).alias("styles"),
+    )
+    b = b.select(*key, dehyphenate(F.col("lines")).alias("text"), _mode(F.col("styles")).alias("mode"), "m", "n", "lead", *boxes)
+    size, bold = F.coalesce("mode.size", F.lit(0.0)).alias("size"), F.coalesce("mode.bold", F.lit(False)).alias("bold")
+    return b.select(*key, "text", size, bold, F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(0.0).alias("math_share"), "lead", *boxes)
+
+
+def _mode(styles: Column) -> Column:
+    """weighted_mode of an array of (style, n, at), NULL for an empty one."""
+
+    def weighed(style):
+        own = F.filter(styles, lambda x: x["style"].eqNullSafe(style))
+        w = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.struct(w.alias("w"), (-F.array_min(F.transform(own, lambda x: x["at"]))).alias("back"), style.alias("style"))
+
+    return F.array_max(F.transform(F.array_distinct(F.transform(styles, lambda x: x["style"])), weighed))["style"]
 
 
 def furniture(blocks: DataFrame, pages: int = FURNITURE_PAGES) -> DataFrame:
@@ -78,7 +94,7 @@ def footnote_like(body: Column) -> Column:
 
 def footnote_markers(blocks: DataFrame, bodies: DataFrame) -> DataFrame:
     """(doc, page, markers): confirmed footnote numbers; pages without any are absent."""
-    b = blocks.join(bodies, "doc").where(footnote_like(F.col("body")))
+    b = blocks.join(merged(bodies), "doc").where(footnote_like(F.col("body")))
     return b.groupBy("doc", "page").agg(F.sort_array(F.collect_set(leading_marker(F.col("body")))).alias("markers"))
 
 
@@ -95,15 +111,15 @@ def figure_regions(blocks: DataFrame, images: DataFrame, drawings: DataFrame, fu
     region. All joins are on (doc, page), so a page's rows meet only each other.
     """
     key = ["doc", "page"]
-    text = blocks.withColumn("key", furniture_key(F.col("text"))).where("key <> ''").join(furniture_keys.select("doc", "key"), ["doc", "key"], "left_anti")
+    text = blocks.withColumn("key", furniture_key(F.col("text"))).where("key <> ''").join(merged(furniture_keys.select("doc", "key")), ["doc", "key"], "left_anti")
     captions = blocks.where(F.col("text").rlike(CAPTION)).select(*key, "block", "page_w", F.col("y0").alias("cy"))
     wide = text.where((F.col("x1") - F.col("x0")) > F.col("page_w") * 0.5).select(*key, F.col("y1").alias("wy"))
-    top = captions.join(wide, key, "left").groupBy(*key, "block", "page_w", "cy").agg(F.coalesce(F.max(F.when(F.col("wy") <= F.col("cy") - 4, F.col("wy"))), F.lit(0.0)).alias("top"))
+    top = captions.join(merged(wide), key, "left").groupBy(*key, "block", "page_w", "cy").agg(F.coalesce(F.max(F.when(F.col("wy") <= F.col("cy") - 4, F.col("wy"))), F.lit(0.0)).alias("top"))
     large = drawings.where((F.col("x1") - F.col("x0") >= DRAWING_W) & (F.col("y1") - F.col("y0") >= DRAWING_H))
     parts = images.select(*key, "x0", "y0", "x1", "y1").unionByName(large.select(*key, "x0", "y0", "x1", "y1"))
     band = (F.lit(0.0), F.col("top"), F.col("page_w"), F.col("cy"))
     box = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    met = top.join(parts, key).where(intersects(box, band)).groupBy(*key, "block", "page_w", "cy", "top").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    met = top.join(merged(parts), key).where(intersects(box, band)).groupBy(*key, "block", "page_w", "cy", "top").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     x0, y0, x1, y1 = clip(box, band)
     cut = met.select(*key, "block", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     cut = cut.where((F.col("x1") - F.col("x0") >= FIGURE_W) & (F.col("y1") - F.col("y0") >= FIGURE_H))
@@ -116,7 +132,7 @@ def standalone_images(images: DataFrame, figures: DataFrame) -> DataFrame:
     big = images.where((F.col("x1") - F.col("x0") >= FIGURE_W) & (F.col("y1") - F.col("y0") >= FIGURE_H))
     f = figures.select(*key, *[F.col(c).alias("f" + c) for c in ("x0", "y0", "x1", "y1")])
     meets = (F.col("x0") < F.col("fx1")) & (F.col("fx0") < F.col("x1")) & (F.col("y0") < F.col("fy1")) & (F.col("fy0") < F.col("y1"))
-    return big.alias("i").join(f.alias("f"), (F.col("i.doc") == F.col("f.doc")) & (F.col("i.page") == F.col("f.page")) & meets, "left_anti")
+    return big.alias("i").join(merged(f).alias("f"), (F.col("i.doc") == F.col("f.doc")) & (F.col("i.page") == F.col("f.page")) & meets, "left_anti")
 
 
 def classified(spans: DataFrame, images: DataFrame, drawings: DataFrame, bookmarks: DataFrame) -> DataFrame:
@@ -128,17 +144,17 @@ def classified(spans: DataFrame, images: DataFrame, drawings: DataFrame, bookmar
     blocks, bodies = block_rows(spans), body_size(spans)
     repeated = furniture(blocks)
     b = blocks.withColumn("norm", norm(F.col("text"))).withColumn("key", furniture_key(F.col("text")))
-    b = b.where(~F.col("text").rlike(PAGE_NUMBER) & (F.col("norm") != "")).join(repeated.select("doc", "key"), ["doc", "key"], "left_anti").join(bodies, "doc")
+    b = b.where(~F.col("text").rlike(PAGE_NUMBER) & (F.col("norm") != "")).join(merged(repeated.select("doc", "key")), ["doc", "key"], "left_anti").join(merged(bodies), "doc")
     marks = bookmarks.withColumn("norm", norm(F.col("title")))
     titles = keep_last(marks.select("doc", "norm", "ord", "level"), ["doc", "norm"], ["ord"]).select("doc", "norm", "level")
     first = marks.groupBy("doc").agg(F.min_by("norm", "ord").alias("first_heading"))
-    b = b.join(titles, ["doc", "norm"], "left").join(first, "doc", "left")
+    b = b.join(merged(titles), ["doc", "norm"], "left").join(merged(first), "doc", "left")
     b = b.withColumn("ord", F.col("page") * 1_000_000 + F.col("block")).withColumn("is_heading", heading(F.col("body"), F.col("level").isNotNull()))
     b = start_gate(b, ["doc"], "ord", F.coalesce(F.col("is_heading") & (F.col("norm") == F.col("first_heading")), F.lit(False)))
     b = b.withColumn("in_references", inside_gate(["doc"], "ord", F.col("is_heading"), F.col("norm").isin(*REFERENCE_HEADINGS))).where("NOT in_references")
     figures = figure_regions(blocks, images, drawings, repeated)
-    box = figures.select("doc", "page", F.struct("x0", "y0", "x1", "y1").alias("r")).groupBy("doc", "page").agg(F.collect_list("r").alias("regions"))
-    b = b.join(figures.select("doc", "page", "block", F.lit(True).alias("is_figure")), ["doc", "page", "block"], "left").join(box, ["doc", "page"], "left")
+    box = figures.groupBy("doc", "page").agg(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1")).alias("regions"))
+    b = b.join(merged(box), ["doc", "page"], "left").withColumn("is_figure", F.exists("regions", lambda r: r["block"] == F.col("block")))
     meets = lambda r: (F.col("x0") < r["x1"]) & (r["x0"] < F.col("x1")) & (F.col("y0") < r["y1"]) & (r["y0"] < F.col("y1"))
     inside = F.coalesce(F.exists("regions", meets), F.lit(False))
     kind = (
@@ -176,7 +192,7 @@ def full_text(blocks: DataFrame) -> DataFrame:
 def resolved_footnotes(references: DataFrame, bodies: DataFrame) -> DataFrame:
     """Reference marks (doc, page, marker) with the footnote's text; of repeated footnotes the last counts."""
     last = keep_last(bodies.select("doc", "page", "marker", "ord", F.col("text").alias("body")), ["doc", "page", "marker"], ["ord"]).drop("ord")
-    return references.join(last, ["doc", "page", "marker"], "left")
+    return references.join(merged(last), ["doc", "page", "marker"], "left")
 
 
 def document_lines_furniture(pages: DataFrame, keys: Column, least: int = FURNITURE_PAGES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers
 from quillspark.functions.text import spaced_join
 from quillspark.operators import layout
-from quillspark.plans.tables import table
+from quillspark.plans.tables import spread, table
 
 #: What stands in block n of a document: text of its last span, size, flags, top, font, and the text and size of a span before.
 BLOCKS = [
@@ -24,32 +24,39 @@ BLOCKS = [
 
 
 def _blocks(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc"), F.explode(F.sequence(F.lit(1), (F.col("p_partkey") % len(BLOCKS) + 1).cast("int"))).alias("n"))
+    """All rows of a document are in one task from here on: what is grouped or joined by document needs no exchange."""
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("doc")), "doc")
+    p = p.select("doc", F.explode(F.sequence(F.lit(1), (F.col("p_partkey") % len(BLOCKS) + 1).cast("int"))).alias("n"))
     at = lambda i: F.element_at(F.array(*[F.lit(b[i]) for b in BLOCKS]), F.col("n"))
     return p.select("doc", "n", F.floor((F.col("n") - 1) / 2).cast("int").alias("page"), *[at(i).alias(c) for i, c in enumerate(("text", "size", "flags", "y0", "font", "lead_text", "lead_size"))])
 
 
 def _spans(spark, sf_dir):
     b = _blocks(spark, sf_dir)
-    place = lambda span: [
-        "doc", "page", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), F.col("n").alias("block"), F.lit(0).alias("block_type"), F.lit(0).alias("line"), F.lit(span).alias("span")
-    ]
+    place = ["doc", "page", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), F.col("n").alias("block"), F.lit(0).alias("block_type"), F.lit(0).alias("line")]
     box = [F.lit(50.0).alias("x0"), "y0", F.lit(500.0).alias("x1"), (F.col("y0") + 20).alias("y1")]
-    whole = b.select(*place(1), "text", "size", "flags", "font", *box)
-    return whole.unionByName(b.where("lead_text <> ''").select(*place(0), F.col("lead_text").alias("text"), F.col("lead_size").alias("size"), F.lit(0).alias("flags"), "font", *box))
+    span = lambda n, text, size, flags: F.struct(F.lit(n).alias("span"), F.col(text).alias("text"), F.col(size).alias("size"), flags.alias("flags"))
+    whole, lead = span(1, "text", "size", F.col("flags")), span(0, "lead_text", "lead_size", F.lit(0))
+    return b.select(*place, "font", *box, F.inline(F.when(F.col("lead_text") != "", F.array(whole, lead)).otherwise(F.array(whole))))
+
+
+def _boxes(b, boxes):
+    """The boxes (page, x0, y0, x1, y1) of each row, as far as they are not NULL."""
+    box = lambda page, *at: F.struct(page.alias("page"), *[F.lit(v).alias(c) for v, c in zip(at, ("x0", "y0", "x1", "y1"), strict=True)])
+    return b.select("doc", F.inline(F.array_compact(F.array(*[F.when(when, box(*at)) for when, *at in boxes]))))
 
 
 def _images(spark, sf_dir):
     """An image above the caption of each document that has one, and a large one on the next page of every second."""
-    b = _blocks(spark, sf_dir).where("n = 4")
-    big = lambda page, y0, y1: b.select("doc", page.alias("page"), F.lit(100.0).alias("x0"), F.lit(y0).alias("y0"), F.lit(400.0).alias("x1"), F.lit(y1).alias("y1"))
-    return big(F.col("page"), 150.0, 350.0).unionByName(big(F.col("page") + 1, 200.0, 300.0).where("CAST(doc AS INT) % 2 = 0")).unionByName(big(F.col("page") + 1, 500.0, 520.0))
+    page, all_of_them = F.col("page"), F.lit(True)
+    second = F.col("doc").cast("int") % 2 == 0
+    return _boxes(_blocks(spark, sf_dir).where("n = 4"), [(all_of_them, page, 100.0, 150.0, 400.0, 350.0), (second, page + 1, 100.0, 200.0, 400.0, 300.0), (all_of_them, page + 1, 100.0, 500.0, 400.0, 520.0)])
 
 
 def _drawings(spark, sf_dir):
     """Beside the image a drawing that is large enough, and a rule that is not."""
-    b = _blocks(spark, sf_dir).where("n = 4")
-    return b.select("doc", "page", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), box, strict=True)]) for box in ((420.0, 300.0, 480.0, 380.0), (10.0, 20.0, 590.0, 21.0))])))
+    page, all_of_them = F.col("page"), F.lit(True)
+    return _boxes(_blocks(spark, sf_dir).where("n = 4"), [(all_of_them, page, 420.0, 300.0, 480.0, 380.0), (all_of_them, page, 10.0, 20.0, 590.0, 21.0)])
 
 
 def _bookmarks(spark, sf_dir):
