@@ -7,7 +7,7 @@ import pytest
 from quillspark.plans import registry
 
 
-@pytest.mark.parametrize("name", ["layout_classes", "layout_figures", "layout_full_text"])
+@pytest.mark.parametrize("name", ["layout_classes", "layout_figures", "layout_full_text", "layout_standalone"])
 def test_no_guessed_size_is_broadcast(spark, sf_dir, name):
     """Spark guesses the size of what is made of a small file from the file, so it would broadcast any number of blocks."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
