@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,26 +34,33 @@ def section_rows(df: DataFrame, keys: list[str], order: str, opens: Column, titl
 def unique_slugs(df: DataFrame, keys: list[str], order: str, slug: str) -> DataFrame:
     """Adds `unique_slug`: the slug, or the slug with the first of -2, -3 .. that no earlier row of the key took.
 
-    The rule looks at all slugs used so far, made ones included, so it is a fold over each key's rows in order. An
-    empty slug is `section-<position>`. The fold runs in one task per key: a key is one document.
+    The rule looks at all slugs used so far, made ones included, so it is a fold over each key's rows in order; rows of
+    equal order are taken by slug. An empty slug is `section-<position>`. The rows of many keys pass through one Arrow
+    function, sorted, and only the slugs of the key at hand are kept: a key is one document.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        used: set[str] = set()
-        upto: dict[str, int] = {}
-        out = []
-        for i, base in enumerate(pdf[slug]):
-            base = base or f"section-{i}"
-            name, n = base, upto.get(base, 2)
-            while name in used:
-                name, n = f"{base}-{n}", n + 1
-            upto[base] = n
-            used.add(name)
-            out.append(name)
-        return pdf.assign(unique_slug=out)
-
-    return df.groupBy(*keys).applyInPandas(fold, df.withColumn("unique_slug", F.lit("")).schema)
+    schema = df.withColumn("unique_slug", F.lit("")).schema
+    same = lambda a, b: len(a) == len(b) and all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+    def fold(batches):
+        at, i, used, upto = (), 0, set(), {}
+        for batch in batches:
+            out = []
+            for *key, base in zip(*(batch.column(c).to_pylist() for c in keys), batch.column(slug).to_pylist(), strict=True):
+                if not same(key, at):
+                    at, i, used, upto = key, 0, set(), {}
+                base = base or f"section-{i}"
+                name, n = base, upto.get(base, 2)
+                while name in used:
+                    name, n = f"{base}-{n}", n + 1
+                upto[base] = n
+                used.add(name)
+                out.append(name)
+                i += 1
+            made = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"unique_slug": pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[c] for c in schema.names], names=schema.names)
+
+    dealt = df.repartition(*keys) if keys else df.repartition(1)
+    return dealt.sortWithinPartitions(*keys, F.col(order).asc_nulls_last(), slug).mapInArrow(fold, schema)
 
 
 def simple_unique_slugs(df: DataFrame, keys: list[str], order: str, slug: str) -> DataFrame:

@@ -90,6 +90,15 @@ def test_unique_slugs_look_at_all_used_ones(spark):
     assert [r["unique_slug"] for r in sections.unique_slugs(df, ["doc"], "ord", "slug").orderBy("ord").collect()] == ["a", "a-2", "a-2-2", "a-3", "section-4", "a-2-3"]
 
 
+def test_unique_slugs_of_many_keys_pass_through_one_function(spark):
+    """Keys in one task, a null one and one that is NaN included; rows of equal order are taken by slug."""
+    df = spark.createDataFrame([(k, i, s) for k in (1.0, 2.0, None, float("nan")) for i, s in ((2, "a"), (1, "a"), (None, "a"), (2, "B"), (0, None))], "doc double, ord int, slug string").coalesce(1)
+    out = sections.unique_slugs(df, ["doc"], "ord", "slug")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(0, None, "section-0"), (1, "a", "a"), (2, "B", "B"), (2, "a", "a-2"), (None, "a", "a-3")]
+    assert sorted(map(str, rows(out, "doc", "ord", "slug", "unique_slug"))) == sorted(str((k, *w)) for k in (1.0, 2.0, None, float("nan")) for w in want)
+
+
 def test_team_sections(spark):
     from quillspark.sources.pages import team_rows
 
