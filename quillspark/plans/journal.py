@@ -112,7 +112,7 @@ def announcement_records(spark, sf_dir):
 
 def guide_sections(spark, sf_dir):
     """Guides of two headings; what precedes the first belongs to none, a link in it is kept as it is."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("<p>before</p><h2>For %s</h2><p>x</p>tail<h2>About</h2><ul><li>%s</li></ul>", "p_name", "p_brand").alias("html"))
+    p = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.format_string("<p>before</p><h2>For %s</h2><p>x</p>tail<h2>About</h2><ul><li>%s</li></ul>", "p_name", "p_brand").alias("html"))
     r = pages.scraped(p, "p_partkey", "html", lambda t: {"rows": [{"ord": i, "heading": h, "html": x} for i, h, x in J.guide_rows(t)]}, "rows ARRAY<STRUCT<ord: INT, heading: STRING, html: STRING>>")
     return r.select("p_partkey", F.explode("rows").alias("r")).select("p_partkey", "r.*")
 
