@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.plans.tables import spread, table
+from quillspark.operators.joins import merged
+from quillspark.plans.tables import spread, table, tasks
 from quillspark.sources import journal_pages as J
 from quillspark.sources import pages
 
@@ -100,14 +101,16 @@ def team_sections(spark, sf_dir):
 
 def announcement_records(spark, sf_dir):
     """Announcements of each customer's list page with what their own pages say; some have no heading, some no body."""
-    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey").cast("string")
+    c = table(spark, sf_dir, "customer").withColumn("key", k)
+    n = tasks(c)
+    c = c.repartition(n, "key")
     where = F.element_at(F.array(*map(F.lit, ["https://x.example/j/announcement/view/%s", "https://x.example/j/announcement/view/x%s", "https://y.example/announcement/view/%s"])), (F.col("c_custkey") % 3 + 1).cast("int"))
-    listed = c.select(k.alias("key"), "c_name", "c_nationkey", F.concat(F.lit('<div class="obj_announcement_summary"><a href="'), F.replace(where, F.lit("%s"), k), F.lit('">About '), "c_name", F.lit("</a></div>")).alias("html"))
+    listed = c.select("key", "c_name", "c_nationkey", F.concat(F.lit('<div class="obj_announcement_summary"><a href="'), F.replace(where, F.lit("%s"), k), F.lit('">About '), "c_name", F.lit("</a></div>")).alias("html"))
     items = pages.scraped(listed, "key", "html", SITE.announcement_list, J.ANNOUNCEMENTS).select(F.explode("items").alias("i")).select(F.col("i.id").alias("key"), F.col("i.title").alias("listed"))
     head, body = F.when(F.col("c_nationkey") % 2 == 0, "<h1>News</h1>").otherwise(""), F.when(F.col("c_nationkey") % 3 > 0, '<div class="description"><p>Body</p></div>').otherwise("")
     own = listed.select("key", F.concat(F.lit('<div class="obj_announcement_full">'), head, F.lit('<div class="date">2024-05-06</div>'), body, F.lit("</div>")).alias("html"))
-    return pages.scraped(items.join(own, "key"), "key", "html", SITE.announcement_record, J.ANNOUNCEMENT, ("key", "listed"))
+    return pages.scraped(items.repartition(n, "key").join(merged(own), "key"), "key", "html", SITE.announcement_record, J.ANNOUNCEMENT, ("key", "listed"))
 
 
 def guide_sections(spark, sf_dir):

@@ -117,7 +117,7 @@ def test_registries(spark):
     assert [(x["name"], x["orcid"]) for x in out["2"]["authors"]] == [("Bo", "o1"), ("Group", "")] and out["2"]["abstract"] == "<p>x</p>" and out["3"]["title"] is None
 
 
-@pytest.mark.parametrize("name", ["article_records", "cleaned_fragments", "guide_sections"])
+@pytest.mark.parametrize("name", ["article_records", "cleaned_fragments", "guide_sections", "announcement_records"])
 def test_pages_of_a_small_file_are_many_tasks(spark, tmp_path, name):
     """A table of one small file is one task of Spark's own; its pages must not be."""
     from pyspark.sql import functions as F
