@@ -16,7 +16,7 @@ def test_no_guessed_size_is_broadcast(spark, sf_dir, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["layout_blocks"])
+@pytest.mark.parametrize("name", ["layout_blocks", "layout_footnote_markers"])
 def test_blocks_of_a_small_file_are_many_tasks(spark, tmp_path, name):
     """Blocks are grouped in the tasks that their documents were dealt to, in one pass over the spans."""
     spark.range(12_000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
